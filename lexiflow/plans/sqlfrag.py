@@ -71,3 +71,38 @@ def wer_cols(hyp: str, ref: str) -> str:
     """errors, ref_words, wer columns (needs a lateral-free form: computed in a sub-select)."""
     return f"""{edit_distance(words(hyp), words(ref))}::bigint as errors,
          len({words(ref)})::bigint as ref_words"""
+
+
+def word_ids(t: str) -> str:
+    return (f"list_transform({words(t)}, lambda w: ({fx.ID_OFFSET} + "
+            f"(('0x' || substr(md5(w), 1, 8))::bigint % {fx.ID_RANGE}))::int)")
+
+
+def ids_cte() -> str:
+    return f"ids as (select doc_id::bigint as row_id, {word_ids('text')} as ids from documents)"
+
+
+def draws(n: str, length: str, seed: str, epoch: str, row: str, slot: str, lo, hi) -> str:
+    pos = f"(1 + floor({uniform(seed, epoch, row, f"'{slot}_pos'", 'k')} * ({length} - 1)))::int"
+    val = f"({lo} + floor({uniform(seed, epoch, row, f"'{slot}_val'", 'k')} * ({hi} - ({lo}) + 1)))::int"
+    return f"list_transform(range(0, {n}), lambda k: {{'pos': {pos}, 'val': {val}}})"
+
+
+def n_draws(length: str, rate: float = 0.06) -> str:
+    return f"floor({rate}::double * {length})::int"
+
+
+def substitute(ids: str, seed: str, epoch: str, row: str, lo=0, hi=19000) -> str:
+    ds = draws(n_draws(f"len({ids})"), f"len({ids})", seed, epoch, row, "sub", lo, hi)
+    return f"list_transform({ids}, lambda x, i: coalesce(list_filter({ds}, lambda d: d.pos = i - 1)[-1].val, x))"
+
+
+def insert(ids: str, length: str, seed: str, epoch: str, row: str, lo=6, hi=19000) -> str:
+    ds = draws(n_draws(length), length, seed, epoch, row, "ins", lo, hi)
+    return f"list_reduce({ds}, lambda acc, d: acc[1:d.pos] || [d.val] || acc[d.pos + 1:], {ids})"
+
+
+def corrupt(ids: str, seed: str, epoch: str, row: str) -> str:
+    u = uniform(seed, epoch, row, "'mix'")
+    mixed = f"(case when {u} > 0.3::double and {u} < 0.7::double then {substitute(ids, seed, epoch, row)} else {ids} end)"
+    return f"([5] || {insert(mixed, f'len({ids})', seed, epoch, row)} || [6])"
