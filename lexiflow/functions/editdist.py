@@ -62,14 +62,3 @@ def errors_and_words(hyp: Column, ref: Column) -> Column:
     """struct(errors, ref_words) with Python ``str.split()`` word boundaries."""
     return _errors_udf(hyp, ref)
 
-
-def _ship_by_value():
-    """Pickle this module's functions by value, so executors need no install."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-_ship_by_value()

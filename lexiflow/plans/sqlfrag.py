@@ -106,3 +106,68 @@ def corrupt(ids: str, seed: str, epoch: str, row: str) -> str:
     u = uniform(seed, epoch, row, "'mix'")
     mixed = f"(case when {u} > 0.3::double and {u} < 0.7::double then {substitute(ids, seed, epoch, row)} else {ids} end)"
     return f"([5] || {insert(mixed, f'len({ids})', seed, epoch, row)} || [6])"
+
+
+def corpus_cte() -> str:
+    return ("corpus as (select text from documents union all select text from benchmark "
+            "union all select text from conversations)")
+
+
+def bpe_learn_ctes(rounds: int) -> str:
+    """Word counts, alphabet and ``rounds`` unrolled merge rounds.
+
+    Defines words(word, n), alpha(ch), s0..s{rounds}(n, syms) and m0..m{rounds-1}
+    (rank, l, r, merged).  Tie-break ids: a character's id is its code point, a
+    learned token's id is 2**21 + the round that first produced it."""
+    out = [corpus_cte(),
+           f"words as (select w as word, count(*)::bigint as n from (select unnest({pretokens('text')}) as w from corpus) group by w)",
+           "alpha as (select distinct unnest(regexp_extract_all(word, '(?s).')) as ch from words)",
+           "s0 as (select n, regexp_extract_all(word, '(?s).') as syms from words where length(word) >= 2)"]
+    for k in range(rounds):
+        prior = " union all ".join(f"select merged, rank from m{j}" for j in range(k)) or \
+            "select null::varchar as merged, null::int as rank where false"
+        out.append(f"""pc{k} as (select p.l as l, p.r as r, sum(n)::bigint as cnt from (
+    select n, unnest(list_transform(range(1, len(syms)), lambda i: {{'l': syms[i], 'r': syms[i + 1]}})) as p from s{k}
+  ) group by all)""")
+        out.append(f"tid{k} as (select merged as tok, 2097152 + min(rank) as id from ({prior}) group by merged)")
+        out.append(f"""m{k} as (select {k} as rank, pc.l, pc.r, pc.l || pc.r as merged from pc{k} pc
+  left join tid{k} a on a.tok = pc.l left join tid{k} b on b.tok = pc.r
+  order by pc.cnt desc, coalesce(a.id, unicode(pc.l)), coalesce(b.id, unicode(pc.r)) limit 1)""")
+        out.append(f"""s{k + 1} as (select n, case when list_contains(syms, m.l) and list_contains(syms, m.r) then
+    list_reduce(syms, lambda acc, x: case when len(acc) > 0 and acc[-1] = m.l and x = m.r
+                                     then acc[1:-2] || [m.merged] else acc || [x] end, []::varchar[])
+    else syms end as syms from s{k}, m{k} m)""")
+    return ",\n".join(out)
+
+
+def merges_union(rounds: int) -> str:
+    return " union all ".join(f"select rank, l, r, merged from m{k}" for k in range(rounds))
+
+
+def vocab_cte(rounds: int, specials) -> str:
+    """vocab(id, token, special) of the learned model."""
+    spec = " union all ".join(f"select {i} as id, '{t}' as token, true as special" for i, t in enumerate(specials))
+    n = len(specials)
+    return f"""merges as ({merges_union(rounds)}),
+vocab_alpha as (select ch as token from alpha where ch not in (select token from ({spec}))),
+vocab as (
+  {spec}
+  union all select ({n} - 1 + row_number() over (order by unicode(token)))::int, token, false from vocab_alpha
+  union all select ({n} + (select count(*) from vocab_alpha) - 1 + row_number() over (order by rank))::int, merged, false
+    from (select merged, min(rank) as rank from merges group by merged) nm
+    where merged not in (select token from vocab_alpha))"""
+
+
+def merges_row(rounds: int) -> str:
+    """mm: one row with l{k}, r{k}, g{k} for each learned merge."""
+    cols = ", ".join(f"m{k}.l as l{k}, m{k}.r as r{k}, m{k}.merged as g{k}" for k in range(rounds))
+    return f"mm as (select {cols} from {', '.join(f'm{k}' for k in range(rounds))})"
+
+
+def apply_merges_chain(rounds: int, syms: str) -> str:
+    """Apply merges m0..m{rounds-1} in rank order to a symbol list (needs ``mm`` joined)."""
+    expr = syms
+    for k in range(rounds):
+        expr = (f"list_reduce({expr}, lambda acc, x: case when len(acc) > 0 and acc[-1] = l{k} and x = r{k} "
+                f"then acc[1:-2] || [g{k}] else acc || [x] end, []::varchar[])")
+    return expr
