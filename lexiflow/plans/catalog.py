@@ -1,6 +1,6 @@
 """All registered queries (importing the gate modules fills the registry)."""
 
-from lexiflow.plans.gates import arrays, scoring, tables, tokenizer  # noqa: F401
+from lexiflow.plans.gates import arrays, correction, scoring, tables, tokenizer  # noqa: F401
 from lexiflow.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -55,16 +55,20 @@ pseudo as (
 
 
 def edit_distance(h: str, r: str) -> str:
-    """Exact Levenshtein distance of two word lists: anti-diagonal DP folded
-    with list_reduce (each step computes one diagonal from the two before)."""
-    return f"""(list_reduce(range(0, len({h}) + len({r}) + 1),
-      lambda acc, d: {{'p2': acc.p1, 'p1': list_transform(range(0, len({h}) + 1), lambda i:
-          case when d - i < 0 or d - i > len({r}) then 1000000000
-               when i = 0 then d - i
+    """Exact Levenshtein distance of two word lists (column names): an
+    anti-diagonal DP folded with list_reduce.  Diagonal d holds cells i in
+    [max(0, d - m), min(n, d)], each from the two diagonals before it."""
+    n, m = f"len({h})", f"len({r})"
+    lo = lambda d: f"greatest(0, {d} - {m})::bigint"
+    return f"""(list_reduce(range(0, {n} + {m} + 1),
+      lambda acc, d: {{'p2': acc.p1, 'o2': acc.o1, 'p1': list_transform(range({lo('d')}, least({n}, d) + 1), lambda i:
+          case when i = 0 then d
                when d - i = 0 then i
-               else least(acc.p1[i] + 1, acc.p1[i + 1] + 1,
-                          acc.p2[i] + case when {h}[i] = {r}[d - i] then 0 else 1 end) end)}},
-      {{'p2': []::bigint[], 'p1': []::bigint[]}}).p1[len({h}) + 1])"""
+               else least(coalesce(acc.p1[i - 1 - acc.o1 + 1], 1000000000) + 1,
+                          coalesce(acc.p1[i - acc.o1 + 1], 1000000000) + 1,
+                          coalesce(acc.p2[i - 1 - acc.o2 + 1], 1000000000)
+                            + case when {h}[i] = {r}[d - i] then 0 else 1 end) end), 'o1': {lo('d')}}},
+      {{'p2': []::bigint[], 'o2': 0::bigint, 'p1': []::bigint[], 'o1': 0::bigint}}).p1[-1])"""
 
 
 def wer_cols(hyp: str, ref: str) -> str:
@@ -171,3 +175,41 @@ def apply_merges_chain(rounds: int, syms: str) -> str:
         expr = (f"list_reduce({expr}, lambda acc, x: case when len(acc) > 0 and acc[-1] = l{k} and x = r{k} "
                 f"then acc[1:-2] || [g{k}] else acc || [x] end, []::varchar[])")
     return expr
+
+
+def split_ctes(fr=(0.6, 0.8)) -> str:
+    """spl(row_id, path, hyp, ref, idx, split): positional split of the pairs
+    with a hypothesis, by row id."""
+    return f"""sp as (select row_id, path, hyp, ref, (row_number() over (order by row_id) - 1) as idx,
+                 count(*) over () as n from pairs where hyp is not null),
+spl as (select row_id, path, hyp, ref, idx, case when idx < floor({fr[0]}::double * n) then 'train'
+            when idx < floor({fr[1]}::double * n) then 'valid' else 'test' end as split from sp)"""
+
+
+def corrector_ctes(min_len: int = 4, min_freq: int = 10) -> str:
+    """fw(word, freq), bg(p, n, count), dix(key, pos, word), fixes(word, fix),
+    corrected(row_id, corrected) for the pairs in ``spl``; fitted on train refs."""
+    W = words
+    return f"""fw as (select w as word, count(*)::bigint as freq from (select unnest({W('ref')}) as w from spl where split = 'train') group by w),
+bg as (select z[1] as p, z[2] as n, count(*)::bigint as count from (
+         select unnest(list_zip(['<s>'] || {W('ref')}, {W('ref')} || ['</s>'])) as z from spl where split = 'train')
+       group by all),
+dix as (select substr(word, 1, i) || substr(word, i + 2) as key, i as pos, word
+        from (select word, unnest(range(length(word))) as i from fw where length(word) >= {min_len})),
+qw as (select distinct unnest({W('hyp')}) as word from spl),
+unk as (select word from qw where word not in (select word from fw)),
+qd as (select word, substr(word, 1, i) || substr(word, i + 2) as key, i as pos
+       from (select word, unnest(range(length(word))) as i from unk where length(word) >= {min_len - 1})),
+cand as (select distinct word, cand from (
+           select u.word, d.word as cand from unk u join dix d on d.key = u.word
+           union all select qd.word, f.word from qd join fw f on f.word = qd.key and length(f.word) >= {min_len}
+           union all select qd.word, d.word from qd join dix d on d.key = qd.key and d.pos = qd.pos)
+         where word <> cand),
+ranked as (select c.word, c.cand, f.freq, count(*) over (partition by c.word) as n_cand,
+                  row_number() over (partition by c.word order by f.freq desc, c.cand) as rn
+           from cand c join fw f on f.word = c.cand),
+fixes as (select word, cand as fix from ranked where rn = 1 and freq >= {min_freq} and n_cand = 1),
+ct as (select row_id, unnest(list_zip(range(len({W('hyp')})), {W('hyp')})) as z from spl),
+cw as (select ct.row_id, z[1] as i, coalesce(f.fix, z[2]) as w from ct left join fixes f on f.word = z[2]),
+corrected as (select s.row_id, coalesce(string_agg(cw.w, ' ' order by cw.i), '') as corrected
+              from spl s left join cw on cw.row_id = s.row_id group by s.row_id)"""
