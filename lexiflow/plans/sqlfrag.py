@@ -213,3 +213,15 @@ ct as (select row_id, unnest(list_zip(range(len({W('hyp')})), {W('hyp')})) as z
 cw as (select ct.row_id, z[1] as i, coalesce(f.fix, z[2]) as w from ct left join fixes f on f.word = z[2]),
 corrected as (select s.row_id, coalesce(string_agg(cw.w, ' ' order by cw.i), '') as corrected
               from spl s left join cw on cw.row_id = s.row_id group by s.row_id)"""
+
+
+def encode_ctes(p: str, src: str, key: str, col: str, rounds: int) -> str:
+    """{p}_ids(key, ids): BPE ids of ``col`` for every row of ``src`` (needs
+    ``vocab`` and ``mm``); merges applied in rank order per pre-token."""
+    pt = pretokens(col)
+    return f"""{p}_t as (select {key} as k, unnest(list_zip(range(len({pt})), {pt})) as z from {src}),
+{p}_e as (select k, z[1] as wp, {apply_merges_chain(rounds, "regexp_extract_all(z[2], '(?s).')")} as toks from {p}_t, mm),
+{p}_u as (select k, wp, unnest(list_zip(range(len(toks)), toks)) as y from {p}_e),
+{p}_i as (select u.k, u.wp, u.y[1] as tp, coalesce(v.id, 0)::int as id from {p}_u u left join vocab v on v.token = u.y[2]),
+{p}_ids as (select s.{key} as k, coalesce(list(i.id order by i.wp, i.tp) filter (where i.id is not null), []::int[]) as ids
+            from {src} s left join {p}_i i on i.k = s.{key} group by s.{key})"""
