@@ -182,25 +182,39 @@ def encode_words(words: DataFrame, model: BPEModel, word: str = "word", unk: int
     return words.select(word).mapInPandas(run, schema)
 
 
+def encode_columns(df: DataFrame, cols, model: BPEModel, key: str = "row_id", outs=None,
+                   with_word_ids: bool = False) -> DataFrame:
+    """(key, ids per column[, word ids]) for one or more text columns.
+
+    All columns share one distinct-word table, encoded once; tokens meet it in
+    a join (broadcast by AQE when the table is small, skew-split otherwise);
+    one group-by on the row key reassembles every column in order.  Rows
+    without pre-tokens get empty arrays."""
+    outs = list(outs or [f"{c}_ids" for c in cols])
+    parts = [df.select(key, F.lit(i).alias("_c"), F.posexplode_outer(pretokenize(c)).alias("wpos", "word"))
+             for i, c in enumerate(cols)]
+    toks = parts[0]
+    for p_ in parts[1:]:
+        toks = toks.unionByName(p_)
+    enc = encode_words(toks.select("word").where(F.col("word").isNotNull()).distinct(), model)
+    joined = toks.join(enc, "word", "left")
+    aggs = [F.sort_array(F.collect_list(F.when((F.col("_c") == i) & F.col("ids").isNotNull(),
+                                               F.struct("wpos", "ids")))).alias(f"_p{i}") for i in range(len(cols))]
+    per_row = joined.groupBy(key).agg(*aggs)
+    sel = [key]
+    for i, o in enumerate(outs):
+        sel.append(F.flatten(F.transform(f"_p{i}", lambda s_: s_["ids"])).alias(o))
+        if with_word_ids:
+            sel.append(F.flatten(F.transform(f"_p{i}", lambda s_: F.array_repeat(s_["wpos"], F.size(s_["ids"]))))
+                       .alias(f"{o}_word_ids" if len(outs) > 1 else "word_ids"))
+    return per_row.select(*sel)
+
+
 def bpe_encode(df: DataFrame, c: str, model: BPEModel, key: str = "row_id", out: str = "ids",
                with_word_ids: bool = False) -> DataFrame:
-    """Encode a text column: pre-tokenize, encode each distinct word once, join
-    back and reassemble in order.  Rows without pre-tokens get an empty array."""
-    toks = df.select(key, F.posexplode(pretokenize(c)).alias("wpos", "word"))
-    distinct = toks.select("word").distinct()
-    enc = encode_words(distinct, model)
-    joined = toks.join(enc, "word")
-    parts = F.sort_array(F.collect_list(F.struct("wpos", "ids")))
-    per_row = joined.groupBy(key).agg(parts.alias("_parts"))
-    cols = [F.flatten(F.transform("_parts", lambda s: s["ids"])).alias(out)]
-    if with_word_ids:
-        cols.append(F.flatten(F.transform("_parts", lambda s: F.array_repeat(s["wpos"], F.size(s["ids"])))).alias("word_ids"))
-    per_row = per_row.select(key, *cols)
-    base = df.select(key, *[x for x in df.columns if x != key])
-    res = base.join(per_row, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
-    if with_word_ids:
-        res = res.withColumn("word_ids", F.coalesce(F.col("word_ids"), F.array().cast("array<int>")))
-    return res
+    """Encode a text column and keep the other columns of ``df``."""
+    enc = encode_columns(df, [c], model, key, [out], with_word_ids)
+    return df.join(enc, key)
 
 
 # --------------------------------------------------------------- decoding ----

@@ -44,6 +44,30 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column], out: str = "idx
     return res.select(*keep)
 
 
+def with_bucketed_index(df: DataFrame, bucket: Column, order: Sequence[str | Column], out: str = "idx",
+                        n_buckets: int = 4096) -> DataFrame:
+    """Global index when an order-preserving bucket of the key is known (for
+    instance the leading bits of a hash key, which are uniform): rows are
+    numbered inside each bucket by a window partitioned on the bucket, and the
+    bucket's offset comes from the counts per bucket (at most ``n_buckets``
+    rows, so their running sum and broadcast are bounded).  Deterministic,
+    so no checkpoint is needed."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    b = df.withColumn("_b", bucket)
+    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    ranked = b.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*cols)) - 1)
+    return ranked.join(F.broadcast(offsets), "_b").withColumn(out, F.col("_off") + F.col("_r")) \
+        .drop("_b", "_off", "_r")
+
+
+def hash_bucket(key: Column, bits: int = 12) -> Column:
+    """Leading ``bits`` bits of a hex digest: order-preserving and uniform."""
+    digits = (bits + 3) // 4
+    return F.shiftright(F.conv(F.substring(key, 1, digits), 16, 10).cast("bigint"), digits * 4 - bits)
+
+
 def positional_split(df: DataFrame, order: Sequence[str], bounds=(12000, 15000),
                      names=("train", "valid", "test"), out: str = "split") -> DataFrame:
     """Rows [0, b1) -> names[0], [b1, b2) -> names[1], the rest -> names[2], in
@@ -78,13 +102,14 @@ def assign_batches(df: DataFrame, size: int, seed: int = 1234, epoch: int = 0, r
     be short).  With ``by`` (e.g. the split column) each group is batched on its
     own; batch ids are then unique within the group."""
     ep = F.lit(epoch)
+    keyed = df.withColumn("_k", rng.shuffle_key(seed, ep, row_id))
     if by:
-        idx = with_row_index(df.withColumn("_k", rng.shuffle_key(seed, ep, row_id)), [by, "_k", row_id], "_g")
+        idx = with_row_index(keyed, [by, "_k", row_id], "_g")
         first = idx.groupBy(by).agg(F.min("_g").alias("_first"))
         # one row per group value: small by construction
         idx = idx.join(F.broadcast(first), by).withColumn("_idx", F.col("_g") - F.col("_first")).drop("_g", "_first", "_k")
     else:
-        idx = with_row_index(df.withColumn("_k", rng.shuffle_key(seed, ep, row_id)), ["_k", row_id], "_idx").drop("_k")
+        idx = with_bucketed_index(keyed, hash_bucket(F.col("_k")), ["_k", row_id], "_idx").drop("_k")
     return (idx.withColumn("epoch", ep.cast("int"))
             .withColumn("batch_id", F.floor(F.col("_idx") / F.lit(size)).cast("bigint"))
             .withColumn("batch_pos", (F.col("_idx") % F.lit(size)).cast("int")).drop("_idx"))
