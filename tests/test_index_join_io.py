@@ -1,0 +1,88 @@
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexiflow.operators import evaluate as ev
+from lexiflow.operators import filters as flt
+from lexiflow.operators import index as ix
+from lexiflow.sources import io
+
+
+def test_two_pass_index_exact(spark):
+    df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5)
+    out = ix.with_row_index(df, ["k"], "idx", n_parts=7).collect()
+    assert sorted((r["k"], r["idx"]) for r in out) == [(k, k) for k in range(1000)]
+
+
+def test_bucketed_index_exact(spark):
+    df = spark.range(0, 500).select(F.md5(F.col("id").cast("string")).alias("h"), "id")
+    got = {r["id"]: r["idx"] for r in ix.with_bucketed_index(df, ix.hash_bucket(F.col("h")), ["h", "id"], "idx").collect()}
+    expect = {r["id"]: i for i, r in enumerate(sorted(df.collect(), key=lambda r: (r["h"], r["id"])))}
+    assert got == expect
+
+
+@pytest.mark.parametrize("n,bounds", [(5, (12, 15)), (15, (12, 15)), (12, (12, 15))])
+def test_split_bounds(spark, n, bounds):
+    df = spark.range(0, n).withColumnRenamed("id", "row_id")
+    out = {r["row_id"]: r["split"] for r in ix.positional_split(df, ["row_id"], bounds).collect()}
+    for i in range(n):
+        assert out[i] == ("train" if i < bounds[0] else "valid" if i < bounds[1] else "test")
+    assert len(out) == n                                                       # disjoint and complete
+
+
+def test_offset_and_batches(spark):
+    df = spark.range(0, 11).withColumnRenamed("id", "row_id")
+    assert sorted(r["row_id"] for r in ix.offset_rows(df, ["row_id"], 8).collect()) == [8, 9, 10]
+    b = ix.assign_batches(df, 4, seed=1, epoch=0).collect()
+    sizes = {}
+    for r in b:
+        sizes[r["batch_id"]] = sizes.get(r["batch_id"], 0) + 1
+    assert sorted(sizes.values()) == [3, 4, 4]                                 # last short batch kept
+
+
+def test_pad_batch_of_one_and_equal(spark):
+    df = spark.createDataFrame([(0, 0, [1, 2]), (0, 1, [1]), (0, 1, [4, 3, 3]), (0, 2, [7, 7])],
+                               "epoch int, batch_id long, ids array<int>")
+    out = sorted((r["batch_id"], r["ids"]) for r in ix.pad_batches(df, ["ids"]).collect())
+    assert out == [(0, [1, 2]), (1, [1, 3, 3]), (1, [4, 3, 3]), (2, [7, 7])]
+
+
+def test_join_null_and_duplicate_keys(spark):
+    a = spark.createDataFrame([(None, "x"), ("p", "y"), ("q", "z")], "path string, beam string")
+    b = spark.createDataFrame([(None, 1), ("p", 2), ("p", 3)], "path string, row_id int")
+    out = ev.join_systems(a, b).collect()
+    assert sorted(r["row_id"] for r in out) == [2, 3]                          # NULL never matches; dupes multiply
+
+
+def test_exists_flag(spark):
+    d = spark.createDataFrame([(1,), (2,), (3,)], "doc_id int")
+    lab = spark.createDataFrame([(1,), (1,), (None,)], "doc_id int")
+    assert sorted((r[0], r[1]) for r in flt.with_exists(d, lab, "doc_id").collect()) == [(1, True), (2, False), (3, False)]
+
+
+def test_csv_round_trip_and_na(spark, scratch):
+    df = spark.createDataFrame([(1, "a,\"b\"\nline", "  "), (2, None, "NA")], "row_id long, hyp string, ref string")
+    io.write_pairs(df, f"{scratch}/p.csv")
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("hyp", T.StringType()),
+                           T.StructField("ref", T.StringType())])
+    back = sorted(io.read_pairs(spark, f"{scratch}/p.csv", schema=schema).collect())
+    assert [tuple(r) for r in back] == [(1, "a,\"b\"\nline", "  "), (2, None, "NA")]
+    na = io.read_pairs(spark, f"{scratch}/p.csv", na_values=io.PANDAS_NA_VALUES, schema=schema)
+    assert sorted(tuple(r) for r in na.collect())[1] == (2, None, None)
+
+
+def test_read_any_and_materialize(spark, scratch):
+    assert io.format_of("x/train.csv") == "csv" and io.format_of("a.raw") == "csv" and io.format_of("b.json") == "json"
+    df = spark.range(3)
+    df.write.json(f"{scratch}/t.json")
+    assert io.read_any(spark, f"{scratch}/t.json").count() == 3
+    first = io.materialize(df, f"{scratch}/cache")
+    again = io.materialize(spark.range(10), f"{scratch}/cache")                 # reused, not rewritten
+    assert first.count() == 3 and again.count() == 3
+    assert io.materialize(spark.range(10), f"{scratch}/cache", overwrite=True).count() == 10
+
+
+def test_profile(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    r = io.profile(df).first()
+    assert (r["n_rows"], r["null_a"], r["null_b"], r["n_cols"]) == (2, 0, 1, 2)

@@ -1,0 +1,86 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexiflow.functions.editdist import word_edit_distance
+from lexiflow.functions.wer import wer
+
+
+def dp(a, b):
+    prev = list(range(len(b) + 1))
+    for i in range(1, len(a) + 1):
+        cur = [i] + [0] * len(b)
+        for j in range(1, len(b) + 1):
+            cur[j] = min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (a[i - 1] != b[j - 1]))
+        prev = cur
+    return prev[-1]
+
+
+CASES = [
+    ("a b c", "a b c"),                 # equal
+    ("x y z", "a b c"),                 # all different
+    ("", "a b c"),                      # empty hypothesis
+    ("a b", "a"),                       # one-word reference
+    ("a b", ""),                        # empty reference -> NULL
+    ("the the the", "the cat the"),     # repeated words
+    ("\ta b", "a b"),                   # leading tab
+    ("café naïve", "cafe naïve"),       # accented words
+    ("a b c", "a b c"),            # NBSP inside splits like str.split()
+    ("  ", "one two"),                  # blank hypothesis
+]
+
+
+@pytest.mark.parametrize("method", ["bitparallel", "native"])
+def test_wer_edge_cases(spark, method):
+    df = spark.createDataFrame(CASES, "hyp string, ref string")
+    rows = df.select("hyp", "ref", wer("hyp", "ref", method=method).alias("s")).collect()
+    for r in rows:
+        h, ref = r["hyp"].split(), r["ref"].split()
+        assert r["s"]["errors"] == dp(h, ref), (r, method)
+        assert r["s"]["ref_words"] == len(ref)
+        if ref:
+            assert r["s"]["wer"] == pytest.approx(dp(h, ref) / len(ref))
+        else:
+            assert r["s"]["wer"] is None
+
+
+def test_wer_null_input(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None)], "hyp string, ref string")
+    for method in ("bitparallel", "native"):
+        out = df.select(wer("hyp", "ref", method=method).alias("s")).collect()
+        assert all(r["s"] is None or r["s"]["errors"] is None for r in out)
+
+
+def test_bitparallel_matches_dp_random():
+    rnd = random.Random(7)
+    for _ in range(500):
+        a = [rnd.choice("abcde") for _ in range(rnd.randint(0, 90))]
+        b = [rnd.choice("abcde") for _ in range(rnd.randint(0, 90))]
+        assert word_edit_distance(a, b) == dp(a, b)
+
+
+def test_methods_agree_and_properties(spark):
+    rnd = random.Random(3)
+    vocab = ["w%d" % i for i in range(30)] + ["é", "ß", "数"]
+    rows = []
+    for _ in range(200):
+        r = " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 40)))
+        h = " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 40)))
+        rows.append((h, r))
+    df = spark.createDataFrame(rows, "hyp string, ref string")
+    out = df.select(wer("hyp", "ref").alias("a"), wer("hyp", "ref", method="native").alias("b"),
+                    wer("ref", "hyp").alias("swap"), wer("ref", "ref").alias("self")).collect()
+    for r in out:
+        assert r["a"]["errors"] == r["b"]["errors"]
+        assert r["a"]["errors"] == r["swap"]["errors"]      # distance is symmetric
+        assert r["self"]["errors"] == 0
+
+
+def test_wer_partitioning_invariant(spark):
+    rows = [("a b c d", "a x c"), ("p q", "p q r")] * 20
+    base = spark.createDataFrame(rows, "hyp string, ref string")
+    sums = set()
+    for n in (1, 4, 17):
+        sums.add(base.repartition(n).select(wer("hyp", "ref").alias("s")).agg(F.sum("s.errors")).first()[0])
+    assert len(sums) == 1
