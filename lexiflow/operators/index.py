@@ -24,13 +24,18 @@ from lexiflow.session import ensure_checkpoint_dir
 _ROW_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
 
 
-def with_row_index(df: DataFrame, order: Sequence[str | Column], out: str = "idx",
+def with_row_index(df: DataFrame, order: Sequence[str], out: str = "idx",
                    n_parts: int | None = None, with_total: bool = False) -> DataFrame:
+    """Dense 0-based index in ``order`` (a unique key of plain columns).
+
+    Only the key columns go through the range shuffle and the checkpoint; the
+    index comes back to the full rows with one equi-join on the key."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    tagged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    keys = [c for c in order]
+    narrow = df.select(*keys)
+    tagged = (narrow.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), _ROW_BITS))
               .checkpoint())
@@ -39,9 +44,11 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column], out: str = "idx
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
                             F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    res = tagged.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_off") + F.col("_pos"))
-    keep = [c for c in df.columns] + [out] + (["_total"] if with_total else [])
-    return res.select(*keep)
+    idx = tagged.join(F.broadcast(offsets), "_pid").select(
+        *keys, (F.col("_off") + F.col("_pos")).alias(out), *(["_total"] if with_total else []))
+    if set(df.columns) == set(keys):
+        return idx
+    return df.join(idx, keys)
 
 
 def with_bucketed_index(df: DataFrame, bucket: Column, order: Sequence[str | Column], out: str = "idx",

@@ -13,10 +13,13 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings a query relies on for scale: AQE re-plans joins from runtime sizes
-# (a join side is only broadcast when its materialised size is below the
-# threshold), splits skewed partitions and coalesces small ones.
+# (a join side is only broadcast when its *materialised* size is below the
+# adaptive threshold; the static planner, which only has estimates, never
+# broadcasts on its own), splits skewed partitions and coalesces small ones.
+# Explicit ``broadcast()`` is used only for tables with a proven size bound.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
@@ -28,11 +31,13 @@ DEFAULT_CONF = {
 
 
 def get_session(master: str | None = None, partitions: int = 8, app: str = "lexiflow",
-                extra: dict | None = None) -> SparkSession:
+                extra: dict | None = None, driver_memory: str = "8g") -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = driver_memory
     conf["spark.sql.shuffle.partitions"] = str(partitions)
     conf.update(extra or {})
     for k, v in conf.items():

@@ -39,8 +39,27 @@ def _typo(w, row_id, pos, seed):
     return F.when(hit, cut).otherwise(w)
 
 
-def pairs(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived input, written once per checkpoint folder and then read like
+    the table it stands in for.  The path carries a digest of this module's
+    source and of the data folder, so a changed derivation is never reused."""
+    import hashlib
+    import inspect
+    import sys
+
+    from lexiflow.session import ensure_checkpoint_dir
+    from lexiflow.sources.io import materialize
+
+    src = inspect.getsource(sys.modules[__name__])
+    tag = hashlib.sha1((src + "|" + sf_dir.rstrip("/")).encode()).hexdigest()[:16]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-inputs/{tag}/{name}"
+    return materialize(build(), path)
+
+
+def pairs(spark: SparkSession, sf_dir: str, seed: int = SEED, stored: bool = True) -> DataFrame:
     """pairs(row_id, path, hyp, ref): ref = document text, hyp = ref with typos."""
+    if stored:
+        return _stored(spark, sf_dir, f"pairs-{seed}", lambda: pairs(spark, sf_dir, seed, stored=False))
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     noisy = F.array_join(
         F.transform(words("text"), lambda w, i: _typo(w, F.col("doc_id"), i, seed)), " ")
@@ -56,8 +75,10 @@ def pairs(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
     )
 
 
-def pseudo(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
+def pseudo(spark: SparkSession, sf_dir: str, seed: int = SEED, stored: bool = True) -> DataFrame:
     """Second system's output: pseudo(output_dir, audio_part_name, beam)."""
+    if stored:
+        return _stored(spark, sf_dir, f"pseudo-{seed}", lambda: pseudo(spark, sf_dir, seed, stored=False))
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     beam = F.array_join(F.transform(
         words("text"),
@@ -78,8 +99,10 @@ def word_ids(c):
         F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(ID_RANGE))).cast("int"))
 
 
-def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ids(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:
     """ids(row_id, ids ARRAY<INT>): one id per word of the whole document."""
+    if stored:
+        return _stored(spark, sf_dir, "ids", lambda: ids(spark, sf_dir, stored=False))
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").cast("bigint").alias("row_id"), word_ids("text").alias("ids"))
 
