@@ -35,7 +35,7 @@ def q_noise_insert(spark, sf):
 select row_id, array_to_string({q.corrupt('ids', str(SEED), str(EPOCH), 'row_id')}, ',') as ids from ids""")
 def q_noise_mixture(spark, sf):
     d = _ids(spark, sf)
-    return d.select("row_id", A.ids_text(noise.corrupt("ids", SEED, F.lit(EPOCH), F.col("row_id"))).alias("ids"))
+    return d.select("row_id", A.ids_text(noise.corrupt_batched("ids", SEED, EPOCH, F.col("row_id"))).alias("ids"))
 
 
 @register("bos_eos", f"""with {q.ids_cte()}
@@ -51,7 +51,7 @@ noisy as (select row_id, {q.corrupt('ids', str(SEED), str(EPOCH), 'row_id')} as
 
 
 def _noisy(spark, sf):
-    return _ids(spark, sf).select("row_id", noise.corrupt("ids", SEED, F.lit(EPOCH), F.col("row_id")).alias("ids"))
+    return _ids(spark, sf).select("row_id", noise.corrupt_batched("ids", SEED, EPOCH, F.col("row_id")).alias("ids"))
 
 
 @register("pad_mask", _NOISY_SQL + """

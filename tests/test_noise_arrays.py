@@ -89,3 +89,26 @@ def test_position_vector(spark):
     div = [math.exp(k * -math.log(10000.0) / 4) for k in (0, 2)]
     assert [round(x, 12) for x in r] == [round(x, 12) for x in
                                          [math.sin(3 * div[0]), math.cos(3 * div[0]), math.sin(3 * div[1]), math.cos(3 * div[1])]]
+
+
+def test_batched_noise_equals_column_form(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(i, [rnd.randint(7, 999) for _ in range(rnd.choice([0, 1, 16, 17, 30, 200, 700]))]) for i in range(60)]
+    df = _ids(spark, rows)
+    out = df.select(A.ids_text(noise.corrupt("ids", 9, F.lit(3), F.col("row_id"))).alias("a"),
+                    A.ids_text(noise.corrupt_batched("ids", 9, 3, F.col("row_id"))).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in out)
+
+
+def test_place_inserts_matches_list_insert():
+    import random
+    rnd = random.Random(11)
+    for _ in range(300):
+        L = rnd.randint(2, 30)
+        pos = [rnd.randint(1, L - 1) for _ in range(rnd.randint(0, 25))]
+        val = [rnd.randint(1000, 2000) for _ in pos]
+        ref = list(range(L))
+        for p, v in zip(pos, val):
+            ref.insert(p, v)
+        assert list(noise._place_inserts(list(range(L)), pos, val)) == ref
