@@ -100,17 +100,18 @@ def learn_bpe(df: DataFrame, c: str = "text", vocab_size: int = 4048, specials=N
     ``max_merges`` merges, or no pair left)."""
     spark = df.sparkSession
     specials = list(SPECIAL_TOKENS if specials is None else specials)
+    ensure_checkpoint_dir(spark)
     words = word_counts(df, c)
-    state = initial_symbols(words).where(F.size("syms") >= 1)
+    # Written once: the alphabet and every round read this table.
+    state = initial_symbols(words).where(F.size("syms") >= 1).checkpoint()
     alphabet = sorted(r["cp"] for r in state.select(F.explode("syms").alias("cp")).distinct().collect())
     sym_str: dict[int, str] = {cp: chr(cp) for cp in alphabet}
     str_sym: dict[str, int] = {v: k for k, v in sym_str.items()}
     tokens = specials + [chr(cp) for cp in alphabet if chr(cp) not in specials]
     known = set(tokens)
     merges: list[tuple[str, str, str]] = []
-    ensure_checkpoint_dir(spark)
     # One-symbol words have no pair; they never change again.
-    state = state.where(F.size("syms") >= 2).checkpoint()
+    state = state.where(F.size("syms") >= 2)
     cached = stale = None
     rounds = 0
     while len(tokens) < vocab_size and (max_merges is None or rounds < max_merges):
