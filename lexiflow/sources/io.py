@@ -94,6 +94,12 @@ def materialize(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def preview(df: DataFrame, n: int = 5) -> list:
+    """First ``n`` rows for a look at a large table (the only place a row limit
+    is the point); only ``n`` rows reach the driver."""
+    return df.limit(n).collect()
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One row: row count, column count and the NULL count of every column."""
     aggs = [F.count(F.lit(1)).alias("n_rows")]

@@ -86,3 +86,15 @@ def test_profile(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     r = io.profile(df).first()
     assert (r["n_rows"], r["null_a"], r["null_b"], r["n_cols"]) == (2, 0, 1, 2)
+
+
+def test_preview_and_spread(spark):
+    from lexiflow.sources.tables import spread
+    df = spark.range(100)
+    assert len(io.preview(df, 3)) == 3
+    one = spark.range(0, 100, numPartitions=1)
+    spread_df = spread(one, 4)
+    assert spread_df.rdd.getNumPartitions() == 4
+    assert sorted(r["id"] for r in spread_df.collect()) == list(range(100))
+    many = spark.range(0, 100, numPartitions=6)
+    assert spread(many, 4).rdd.getNumPartitions() == 6          # already split: untouched
