@@ -98,3 +98,10 @@ def test_preview_and_spread(spark):
     assert sorted(r["id"] for r in spread_df.collect()) == list(range(100))
     many = spark.range(0, 100, numPartitions=6)
     assert spread(many, 4).rdd.getNumPartitions() == 6          # already split: untouched
+
+
+def test_semi_and_anti(spark):
+    d = spark.createDataFrame([(1,), (2,), (3,)], "doc_id int")
+    lab = spark.createDataFrame([(1,), (1,), (3,)], "doc_id int")
+    assert sorted(r[0] for r in flt.keep_existing(d, lab, "doc_id").collect()) == [1, 3]   # no multiplication
+    assert [r[0] for r in flt.drop_existing(d, lab, "doc_id").collect()] == [2]
