@@ -57,3 +57,10 @@ def build_path(root, *parts) -> Column:
 def file_extension(c) -> Column:
     """Text after the last dot (whole text if there is no dot)."""
     return F.substring_index(col_of(c), ".", -1)
+
+
+def reader_format(path) -> Column:
+    """Reader name from a path column: csv and raw read as CSV, any other
+    extension is the format name itself (lower-cased)."""
+    ext = F.lower(file_extension(path))
+    return F.when(ext.isin("csv", "raw"), F.lit("csv")).otherwise(ext)

@@ -153,4 +153,15 @@ def q_pad_batches(spark, sf):
     return b.select("row_id", "batch_id", ids_text("labels").alias("labels"))
 
 
+@register("file_extension", """
+select page_id, string_split(url, '.')[-1] as ext,
+       case when lower(string_split(url, '.')[-1]) in ('csv', 'raw') then 'csv'
+            else lower(string_split(url, '.')[-1]) end as fmt
+from pages""")
+def q_file_extension(spark, sf):
+    from lexiflow.functions.text import file_extension, reader_format
+    p = table(spark, sf, "pages")
+    return p.select("page_id", file_extension("url").alias("ext"), reader_format("url").alias("fmt"))
+
+
 del words
