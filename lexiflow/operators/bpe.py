@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiflow.functions._util import col_of
+from lexiflow.functions._util import col_of, let
 from lexiflow.functions.arrays import SPECIAL_TOKENS, UNK
 from lexiflow.functions.text import pretokenize
 from lexiflow.session import ensure_checkpoint_dir
@@ -94,10 +94,47 @@ def apply_merge(syms: Column, left: int, right: int, new: int) -> Column:
         .otherwise(F.concat(acc, F.array(x))))
 
 
+def _merge_step(left: int, right: int, new: int):
+    """Lambda body for one merge: words without both symbols pass unchanged."""
+    def step(s_):
+        return F.when(F.array_contains(s_, left) & F.array_contains(s_, right),
+                      apply_merge(s_, left, right, new)).otherwise(s_)
+    return step
+
+
+def _accept_batch(top, bounds, tokens_left: int, limit: int) -> list:
+    """Merges of one round that provably equal the next merges of one-at-a-time
+    learning.  ``top`` is the pair ranking of this round; a candidate is taken
+    while (1) it shares no symbol with the pairs taken before it, so its count
+    is unchanged by them, and (2) its count is strictly above every count a
+    newly created pair can reach: a pair (z, ab) needs an occurrence of
+    (z, a), a pair (ab, z) one of (b, z), so max count(z, a) and max count(b, z)
+    over all z bound them."""
+    taken, used, bound = [], set(), 0
+    for row in top:
+        l, r, n = int(row["l"]), int(row["r"]), int(row["count"])
+        if taken and (l in used or r in used or n <= bound):
+            break
+        taken.append((l, r))
+        used.update((l, r))
+        bound = max(bound, bounds.get(("into", l), 0), bounds.get(("from", r), 0))
+        if len(taken) >= min(limit, tokens_left):
+            break
+    return taken
+
+
 def learn_bpe(df: DataFrame, c: str = "text", vocab_size: int = 4048, specials=None,
-              max_merges: int | None = None, checkpoint_every: int = 10) -> BPEModel:
+              max_merges: int | None = None, checkpoint_every: int = 10, batch: int = 1,
+              candidates: int = 64) -> BPEModel:
     """Learn specials + alphabet + merges until ``vocab_size`` tokens (or
-    ``max_merges`` merges, or no pair left)."""
+    ``max_merges`` merges, or no pair left).
+
+    With ``batch > 1`` a round counts pairs once and may apply several merges:
+    only those that one-merge-per-round learning would pick next, in the same
+    order (``_accept_batch``), so the result is identical to ``batch=1``.  It
+    costs one more small job per round and pays off once later rounds accept
+    many merges (long vocabularies); measured slower for the first ~60 merges
+    on sf0.01 (42.9 s vs 27.7 s), hence the default of one merge per round."""
     spark = df.sparkSession
     specials = list(SPECIAL_TOKENS if specials is None else specials)
     ensure_checkpoint_dir(spark)
@@ -113,30 +150,51 @@ def learn_bpe(df: DataFrame, c: str = "text", vocab_size: int = 4048, specials=N
     # One-symbol words have no pair; they never change again.
     state = state.where(F.size("syms") >= 2)
     cached = stale = None
-    rounds = 0
-    while len(tokens) < vocab_size and (max_merges is None or rounds < max_merges):
-        top = pair_counts(state).orderBy(F.col("count").desc(), "l", "r").limit(1).collect()
+    rounds = n_merges = 0
+    while len(tokens) < vocab_size and (max_merges is None or n_merges < max_merges):
+        pc = pair_counts(state)
+        if batch > 1:  # read twice (ranking and bounds)
+            pc = pc.cache()
+        top = pc.orderBy(F.col("count").desc(), "l", "r").limit(max(1, candidates if batch > 1 else 1)).collect()
         if stale is not None:  # ``state`` is materialised now; drop the round before it
             stale.unpersist()
             stale = None
         if not top:
+            pc.unpersist()
             break
-        left, right = int(top[0]["l"]), int(top[0]["r"])
-        merged = sym_str[left] + sym_str[right]
-        if merged in str_sym:
-            new = str_sym[merged]
-        else:
-            new = MERGED_BASE + rounds
-            sym_str[new] = merged
-            str_sym[merged] = new
-        merges.append((sym_str[left], sym_str[right], merged))
-        if merged not in known:
-            tokens.append(merged)
-            known.add(merged)
+        bounds: dict = {}
+        if batch > 1 and len(top) > 1:
+            syms = sorted({int(r["l"]) for r in top} | {int(r["r"]) for r in top})
+            into = pc.where(F.col("r").isin(syms)).groupBy(F.col("r").alias("s")).agg(F.max("count").alias("m")) \
+                .withColumn("k", F.lit("into"))
+            out_ = pc.where(F.col("l").isin(syms)).groupBy(F.col("l").alias("s")).agg(F.max("count").alias("m")) \
+                .withColumn("k", F.lit("from"))
+            bounds = {(r["k"], int(r["s"])): int(r["m"]) for r in into.unionByName(out_).collect()}
+        pc.unpersist()
+        left_budget = min(vocab_size - len(tokens),
+                          (max_merges - n_merges) if max_merges is not None else vocab_size)
+        expr = F.col("syms")
+        accepted = _accept_batch(top, bounds, left_budget, max(1, batch))
+        for left, right in accepted:
+            merged = sym_str[left] + sym_str[right]
+            duplicate = merged in str_sym
+            if duplicate:
+                new = str_sym[merged]
+            else:
+                new = MERGED_BASE + n_merges
+                sym_str[new] = merged
+                str_sym[merged] = new
+            merges.append((sym_str[left], sym_str[right], merged))
+            if merged not in known:
+                tokens.append(merged)
+                known.add(merged)
+            n_merges += 1
+            # bound once per merge, so chaining merges keeps the expression linear
+            expr = _merge_step(left, right, new)(expr) if len(accepted) == 1 else let(expr, _merge_step(left, right, new))
+            if duplicate:  # an existing token gains occurrences: re-count before going on
+                break
         rounds += 1
-        touched = F.array_contains("syms", left) & F.array_contains("syms", right)
-        nxt = state.withColumn("syms", F.when(touched, apply_merge(F.col("syms"), left, right, new))
-                               .otherwise(F.col("syms")))
+        nxt = state.withColumn("syms", expr)
         # Each round's table is materialised once: the next round reads it
         # instead of re-deriving every earlier merge.  A reliable checkpoint
         # every few rounds bounds the lineage an executor loss would replay.

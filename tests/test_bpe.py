@@ -63,3 +63,14 @@ def test_merge_word_priority():
     tok = {"a": 1, "b": 2, "c": 3, "ab": 4, "bc": 5, "abc": 6}
     assert bpe._merge_word("abc", ranks, tok, 0) == [6]
     assert bpe._merge_word("bcab", ranks, tok, 0) == [5, 4]
+
+
+def test_batched_rounds_equal_single_merge_rounds(spark):
+    texts = ["the quick brown fox jumps over the lazy dog", "then there were three thin thieves",
+             "she sells sea shells by the sea shore", "aaaa abab baba the the the", "ünïcödé wörds über alles"]
+    df = spark.createDataFrame([(t,) for t in texts * 3], "text string")
+    one = bpe.learn_bpe(df, "text", max_merges=40, batch=1)
+    many = bpe.learn_bpe(df, "text", max_merges=40, batch=16)
+    assert one.merges == many.merges and one.tokens == many.tokens
+    capped = bpe.learn_bpe(df, "text", vocab_size=len(one.tokens) - 5, batch=16)
+    assert capped.tokens == one.tokens[:len(one.tokens) - 5]
