@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
-from lexiflow.llm.common import documents
+from lexiflow.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_model, quality_rules, secrets, token_counts, token_files
+from lexiflow.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -28,11 +28,24 @@ def op1_mix_sources(spark, sf_dir) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).drop("tkey")
 
 
+@_query()
+def op2_count_edits(spark, sf_dir) -> DataFrame:
+    return token_counts.count_through_edits(documents(spark, sf_dir)).select(
+        "doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_segments", "segments_encoded", "chars_encoded")
+
+
 @_query()
 def op3_pack_binary(spark, sf_dir) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), with_ids=False)
 
 
+@_query()
+def op4_language_masks(spark, sf_dir) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.learn_filter(docs.where(~held_out()))
+    return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @_query("""
 with h as (select doc_id, coalesce(text, '') as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from h group by t)
@@ -41,6 +54,14 @@ def op5_exact_dedup(spark, sf_dir) -> DataFrame:
     return exact_dedup.dedup_exact(documents(spark, sf_dir), digest_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@_query()
+def op6_random_secrets(spark, sf_dir) -> DataFrame:
+    found = secrets.scan_secrets(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(secrets.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        secrets.spans_text(F.col("found")).alias("spans"))
+
+
 @_query(rf"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
 w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
@@ -69,6 +90,19 @@ def op7_host_rules(spark, sf_dir) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_query()
+def op8_boosted_quality(spark, sf_dir) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    scored = quality_model.classify_quality(documents(spark, sf_dir), labels, learn_from=~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@_query()
+def op9_token_files(spark, sf_dir) -> DataFrame:
+    path = token_files.write_token_files(documents(spark, sf_dir))
+    return token_files.read_token_files(spark, path, with_ids=False)
+
+
 @_query()
 def op10_near_dedup(spark, sf_dir) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("tkey")
