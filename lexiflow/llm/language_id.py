@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import process_cache, stored
+from lexiflow.llm.common import process_cache, stored, text_batches
 
 #: Odd multipliers of the filter's hash functions.
 _HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -96,6 +96,7 @@ def learn_filter(docs: DataFrame, min_share: float = 0.01, lang_col: str = "lang
                 # Trigram 0 (three NULs, never made by ngrams) carries the number of documents.
                 yield pd.DataFrame({"lang": lang, "gram": np.append(g, 0), "n": np.append(n, len(part))})
 
+    text_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = stored(rows.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.where("gram = 0").select("lang", F.col("n").alias("docs"))
@@ -127,5 +128,6 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
             found = [sent.value.predict(t) for t in b["text"]]
             yield pd.DataFrame({id_col: b["id"], "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
 
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double")

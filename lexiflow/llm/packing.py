@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.llm.common import text_batches
 from lexiflow.llm.tokens import byte_bpe_encoder, vocab_path
 
 #: Bits of a sequence id below its bucket.
@@ -44,6 +45,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str =
     columns are not read."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    text_batches(docs.sparkSession)
     path = tokenizer or vocab_path("byte_bpe_50k.json")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + (", ids array<int>" if with_ids else "")

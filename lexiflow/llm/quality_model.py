@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import process_cache, stored
+from lexiflow.llm.common import process_cache, stored, text_batches
 
 FEATURES = ("log_chars", "log_words", "mean_word", "long_words", "distinct_words", "repeated_pairs", "repeated_lines", "mean_line", "upper", "digits",
             "spaces", "stops", "exclaims", "symbols", "pipes", "other", "ends_in_letter", "commonest_word")
@@ -57,6 +57,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pd.DataFrame({id_col: b["id"], "x": [np.array(statistics(t), np.float32) for t in b["text"]]})
 
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {kind}, x array<float>")
 

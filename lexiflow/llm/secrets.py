@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import stored
+from lexiflow.llm.common import stored, text_batches
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -168,6 +168,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     NULL text counts as empty (no spans); offsets are code points, end exclusive.  Repeated rows and NULL ids are scanned like others.
     An empty table gives no rows; other columns are not read."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     spans, cands = "array<struct<start:long,kind:int,end:long>>", "array<struct<start:long,end:long,cell:int,bin:int>>"
 

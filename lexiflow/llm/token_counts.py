@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import stored
+from lexiflow.llm.common import stored, text_batches
 from lexiflow.llm.tokens import byte_bpe_encoder, vocab_path
 
 #: Characters of a segment, at least (it ends at the next place where pre-tokens always part).
@@ -124,6 +124,7 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None, id_col: str = "do
 
     NULL text counts as empty; repeated rows and NULL ids have rows of their own; an empty table gives
     no rows; other columns are not read.  Each whole text is encoded once, segment by segment."""
+    text_batches(docs.sparkSession)
     path = tokenizer or vocab_path("byte_bpe_50k.json")
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -144,6 +145,7 @@ def apply_edits(trees: DataFrame, edits: Callable[[str], list[tuple[int, int, st
     """The state after edits (columns as ``build_trees``), and n_tokens_before, n_edits, n_segments, segments_encoded, chars_encoded.
 
     ``edits`` gives a text's edits in order.  Row by row: no shuffle."""
+    text_batches(trees.sparkSession)
     path = tokenizer or vocab_path("byte_bpe_50k.json")
     kind = trees.schema[id_col].dataType.simpleString()
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import process_cache, scratch_path, stored
+from lexiflow.llm.common import process_cache, scratch_path, stored, text_batches
 from lexiflow.llm.tokens import WordMemo, vocab_path
 
 #: Ids of a block, about (a document is never split).
@@ -88,6 +88,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str |
     NULL text counts as empty (the end id only).  Rows of a NULL id come first; rows of equal ids follow one another (by
     their ids' hash).  An empty table writes no blocks; other columns are not read."""
     spark = docs.sparkSession
+    text_batches(spark)
     path = path or scratch_path(spark, "token-files")
     tokens = stored(_token_rows(docs, tokenizer or vocab_path("word_bpe_49k.json"), end_id, id_col, text_col), "tokens")
     ranks = frequency_ranks(tokens)

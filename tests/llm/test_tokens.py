@@ -1,0 +1,125 @@
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lexiflow.llm import token_counts as tc
+from lexiflow.llm.packing import binary_pieces, pack_documents, write_buckets
+from lexiflow.llm.token_files import decode_block, encode_block, read_token_files, write_token_files
+from lexiflow.llm.tokens import WordMemo, byte_bpe_encoder, load_tokenizer, vocab_path
+from tests.llm.conftest import SF, rows_of
+
+BYTE, WORD = vocab_path("byte_bpe_50k.json"), vocab_path("word_bpe_49k.json")
+ODD = st.text(st.sampled_from(list("abé'sSΣ \n\t.,!?0189<|>_漢́\x1c\x85\xa0 😀")), max_size=60)
+
+
+def ids(path, text):
+    return load_tokenizer(path).encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(ODD)
+def test_byte_ids_equal_the_library(t):
+    assert byte_bpe_encoder(BYTE)(t).tolist() == ids(BYTE, t)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ODD, max_size=4))
+def test_remembered_words_equal_the_library(ts):
+    memo = WordMemo(WORD)
+    assert [np.frombuffer(x, "<u2").tolist() for x in memo.encode(ts) + memo.encode(ts)] == [ids(WORD, t) for t in ts + ts]
+
+
+def test_memo_is_bounded():
+    memo = WordMemo(WORD, limit=3)
+    texts = ["one two three four five", "six seven eight"] * 200
+    assert [np.frombuffer(x, "<u2").tolist() for x in memo.encode(texts)] == [ids(WORD, t) for t in texts]
+
+
+@given(st.integers(0, 10_000), st.sampled_from([1, 8, 1024]))
+def test_binary_pieces_cover(n, longest):
+    at = 0
+    for start, size in binary_pieces(n, longest):
+        assert start == at and size & (size - 1) == 0 and size <= longest
+        at += size
+    assert at == n and len(binary_pieces(n, longest)) == n // longest + bin(n % longest).count("1")
+
+
+@pytest.mark.parametrize("which", ["odd", "sample"])
+def test_pack_round_trip(spark, odd, which, scratch):
+    df = odd if which == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    write_buckets(pack_documents(df), f"{scratch}/packed")
+    got = spark.read.parquet(f"{scratch}/packed").toPandas()
+    assert got["sequence_id"].is_unique and (got["offset"] == 0).all() and (got["length"] == 2 ** got["bucket"]).all()
+    assert all(zlib.crc32(np.asarray(i, "<u4").tobytes()) == c for i, c in zip(got["ids"], got["ids_crc32"]))
+    want = sorted(tuple(ids(BYTE, t)) + (0,) for t in rows_of(df)["text"])
+    firsts = got[got["start"] == 0]
+    assert len(firsts) == len(want)
+    if which == "sample":
+        whole = got.sort_values(["doc_id", "start"]).groupby("doc_id")["ids"].apply(lambda s: tuple(np.concatenate(s.tolist()).tolist()))
+        assert sorted(whole) == want
+    assert got["length"].sum() == sum(map(len, want))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2 ** 32 - 1) | st.integers(0, 300) | st.integers(0, 70_000), max_size=50))
+def test_block_code_round_trip(r):
+    c, d = encode_block(np.array(r, np.uint32))
+    assert len(c) == -(-len(r) // 4) and decode_block(c, d, len(r)).tolist() == r
+
+
+@pytest.mark.parametrize("which", ["odd", "sample"])
+def test_token_files_round_trip(spark, odd, which):
+    df = odd if which == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    path = write_token_files(df)
+    got = read_token_files(spark, path).toPandas().sort_values("start")
+    assert got["start"].tolist() == np.cumsum([0, *got["n_tokens"][:-1]]).tolist()
+    assert got["doc_id"].dropna().is_monotonic_increasing and got["doc_id"].isna()[:got["doc_id"].isna().sum()].all()
+    assert all(zlib.crc32(np.asarray(i, "<u4").tobytes()) == c for i, c in zip(got["ids"], got["ids_crc32"]))
+    src = rows_of(df)
+    name = lambda d: -1 if d is None or d != d else int(d)
+    assert sorted((name(d), tuple(i)) for d, i in zip(got["doc_id"], got["ids"])) == sorted((name(d), (*ids(WORD, t), 2)) for d, t in zip(src["doc_id"], src["text"]))
+    ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()
+    counts = np.bincount(np.concatenate(got["ids"].tolist()))
+    assert (np.diff(counts[ranks["id"]]) <= 0).all()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(ODD, min_size=1, max_size=6), st.data())
+def test_tree_after_edits_equals_recount(parts, data):
+    t = " ".join(p * 40 for p in parts)
+    encode = byte_bpe_encoder(BYTE)
+    cuts = sorted(data.draw(st.lists(st.integers(0, len(t)), max_size=6)))
+    edits = [(s, e, data.draw(ODD)) for s, e in zip(cuts[::2], cuts[1::2])]
+    edits = [x for i, x in enumerate(edits) if not i or x[0] > edits[i - 1][1]]
+    tree = tc.build_tree(t, encode)
+    assert tree.total == len(encode(t))
+    new, _, _ = tc.apply_to_tree(tree, t, edits, encode)
+    want = t
+    for s, e, r in reversed(edits):
+        want = want[:s] + r + want[e:]
+    assert new == want and tree.total == len(encode(want)) and tree.sums[1, 0] == len(want)
+
+
+@pytest.mark.parametrize("which", ["odd", "sample"])
+def test_counts_through_edits(spark, odd, which):
+    df = odd if which == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    got = tc.count_through_edits(df)
+    src = [t or "" for t in rows_of(df)["text"]]
+    want = []
+    for t in src:
+        new = t
+        for s, e, r in reversed(tc.redactions(t)):
+            new = new[:s] + r + new[e:]
+        want.append((len(ids(BYTE, t)), len(ids(BYTE, new)), new))
+    assert sorted((r["n_tokens_before"], r["n_tokens"], r["text"]) for r in got.collect()) == sorted(want)
+    # A second round starts from the kept state.
+    again = tc.apply_edits(got, lambda t: [(0, 0, "x")]).collect()
+    assert sorted((r["n_tokens"], r["text"]) for r in again) == sorted((len(ids(BYTE, "x" + n)), "x" + n) for _, _, n in want)
+
+
+def test_empty_tables(spark, none):
+    assert pack_documents(none).count() == 0 and tc.count_through_edits(none).count() == 0
+    assert read_token_files(spark, write_token_files(none)).count() == 0
