@@ -24,6 +24,7 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
+_NOT_LETTER = re.compile(r"[^A-Za-z]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 #: Encodings from the smallest alphabet to the largest.
@@ -40,7 +41,7 @@ ENCODINGS = tuple(ALPHABETS)
 LENGTHS = ((31, 24), (51, 40), (None, 64))
 BINS = 40
 #: One background string per so many characters of every text.
-STRIDE = 1024
+STRIDE = 512
 _CODE = {}
 for _name, _alphabet in ALPHABETS.items():
     _CODE[_name] = np.full(128, -1, np.int16)
@@ -129,8 +130,8 @@ def background(texts: list[str]) -> np.ndarray:
     chunks = []
     for t in texts:
         for at in range(0, len(t), STRIDE):
-            s = "".join(filter(str.isalpha, t[at:at + 2 * longest]))
-            if s.isascii() and len(s) >= longest:
+            s = _NOT_LETTER.sub("", t[at:at + 3 * longest])
+            if len(s) >= longest:
                 chunks.append(s[:longest])
     hist = np.zeros((len(ENCODINGS) * len(LENGTHS), BINS), np.int64)
     if not chunks:
@@ -159,7 +160,7 @@ def cuts(found: np.ndarray, ordinary: np.ndarray, rate: float) -> list[int]:
     return [int(next((b for b in range(BINS) if row[b] <= limit), BINS)) for row in p]
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.001) -> DataFrame:
     """One row per input row: id_col, base (array of kind:start:end), found (all spans: array of struct start, kind, end).
 
     Whole texts are scanned once; spans and candidates go to the shared folder.  Two
