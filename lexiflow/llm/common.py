@@ -26,12 +26,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
+#: Compression of intermediate files: small, at little time.
+COMPACT = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, so a
     lost executor only costs the tasks it ran, and non-deterministic columns
     (row ids) are fixed from here on."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**COMPACT).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -120,9 +124,9 @@ def bit_table(keys: DataFrame, key: str, bits: int) -> np.ndarray:
     """The keys' low ``bits`` bits as a packed bit table for Arrow tasks (``2**bits`` bits, fixed size)."""
     words = 1 << (bits - 6)
     rows = (keys.groupBy(F.pmod(F.shiftright(F.col(key), 6), F.lit(words)).cast("int").alias("w"))
-            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{key}` & 63L as int))")).alias("b")).toPandas())
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{key}` & 63L as int))")).alias("b")).toArrow())
     table = np.zeros(words, dtype=np.uint64)
-    table[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    table[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
     return table
 
 

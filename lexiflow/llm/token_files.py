@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import process_cache, scratch_path, stored, text_batches
+from lexiflow.llm.common import COMPACT, process_cache, scratch_path, stored, text_batches
 from lexiflow.llm.tokens import WordMemo, vocab_path
 
 #: Ids of a block, about (a document is never split).
@@ -33,8 +33,14 @@ def encode_block(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[:len(r)] = extra
     q = padded.reshape(-1, 4)
     control = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-    four = r.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), four[np.arange(4) <= extra[:, None]].tobytes()
+    at = np.zeros(len(r), np.int64)
+    np.cumsum(extra[:-1] + np.int64(1), out=at[1:])
+    data = np.zeros(int(extra.sum(dtype=np.int64)) + len(r), np.uint8)
+    data[at] = r & 0xFF
+    for i in range(1, int(extra.max(initial=0)) + 1):
+        more = np.flatnonzero(extra >= i)
+        data[at[more] + i] = r[more] >> np.uint32(8 * i) & np.uint32(0xFF)
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -68,9 +74,7 @@ def frequency_ranks(tokens: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for x in b["ids"]:
-                c = np.bincount(np.frombuffer(x, "<u2"))
-                total[:len(c)] += c
+            total += np.bincount(np.frombuffer(b"".join(b["ids"]), "<u2"), minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
@@ -123,7 +127,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str |
     rows = tokens.select(F.col(id_col).alias("id"), "n", "ids", F.xxhash64("ids").alias("h"))
     rows = rows.repartitionByRange(int(shards), "id", "h").sortWithinPartitions("id", "h").select("id", "n", "ids")
     blocks = rows.mapInPandas(run, f"block long, first long, n long, docs array<{kind}>, sizes array<long>, control binary, data binary")
-    blocks.withColumn("shard", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    blocks.withColumn("shard", F.spark_partition_id()).write.options(**COMPACT).parquet(f"{path}/blocks")
     return path
 
 

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexiflow.llm import token_counts as tc
+from lexiflow.llm.common import process_cache
 from lexiflow.llm.packing import binary_pieces, pack_documents, write_buckets
 from lexiflow.llm.token_files import decode_block, encode_block, read_token_files, write_token_files
 from lexiflow.llm.tokens import WordMemo, byte_bpe_encoder, load_tokenizer, vocab_path
@@ -28,12 +29,27 @@ def test_byte_ids_equal_the_library(t):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(ODD, max_size=4))
 def test_remembered_words_equal_the_library(ts):
-    memo = WordMemo(WORD)
+    memo = process_cache("test memo", lambda: WordMemo(WORD))
     assert [np.frombuffer(x, "<u2").tolist() for x in memo.encode(ts) + memo.encode(ts)] == [ids(WORD, t) for t in ts + ts]
 
 
+LATIN = st.text(st.sampled_from([chr(i) for i in range(32, 256)] + list("aAéß \n.,'12")), max_size=40)
+
+
+@settings(max_examples=600, deadline=None)
+@given(LATIN | st.text(st.sampled_from(list("thenTHÉ ,.7!\n")), max_size=40))
+def test_whole_latin_texts_equal_the_library(t):
+    memo = process_cache("test memo", lambda: WordMemo(WORD))
+    assert np.frombuffer(memo.encode([t])[0], "<u2").tolist() == ids(WORD, t)
+    by_words = process_cache("test words", lambda: WordMemo(WORD))
+    by_words.fast.text = lambda _: None
+    memo = by_words
+    assert np.frombuffer(memo.encode([t])[0], "<u2").tolist() == ids(WORD, t)
+
+
 def test_memo_is_bounded():
     memo = WordMemo(WORD, limit=3)
+    memo.fast.text = lambda _: None
     texts = ["one two three four five", "six seven eight"] * 200
     assert [np.frombuffer(x, "<u2").tolist() for x in memo.encode(texts)] == [ids(WORD, t) for t in texts]
 
