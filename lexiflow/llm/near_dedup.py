@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import bit_table, hot_keys, in_table, key_filter, skew_join, stored, test_filter
+from lexiflow.llm.common import bit_table, hot_keys, in_table, key_filter, skew_join, stored, test_filter, text_batches
 
 #: Odd multipliers of the shingle hash (any odd 64-bit numbers do).
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -76,7 +76,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, width: int) -
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, shingles) of the given class representatives (node, id_col, tkey): whole texts again."""
+    """(node, shingles) of the given class representatives (node, id_col, tkey): the second and last scan of texts."""
     wanted = nodes.select("node", F.xxhash64(id_col, "tkey").alias("rk"))
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = rows.withColumn("rk", F.xxhash64("__id", F.xxhash64("__text")))
@@ -86,8 +86,9 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wi
         for b in batches:
             yield pd.DataFrame({"rk": b["rk"], "shingles": [shingle_hashes(t, width) for t in b["__text"]]})
 
-    sets = rows.mapInPandas(run, "rk long, shingles array<long>").join(wanted, "rk").drop("rk")
-    return sets.dropDuplicates(["node"])
+    sets = rows.mapInPandas(run, "rk long, shingles array<long>").join(wanted, "rk")
+    # Repeated rows; the join has dealt the rows by rk already.
+    return sets.dropDuplicates(["rk", "node"]).drop("rk")
 
 
 def _index(reps: DataFrame, k: int, similarity: float, t: int) -> DataFrame:
@@ -127,22 +128,37 @@ def _index(reps: DataFrame, k: int, similarity: float, t: int) -> DataFrame:
     return reps.select("node", "n_shingles", "sketch").mapInPandas(run, "v long, node long, n long")
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, t: int, percent: int,
-             width: int) -> DataFrame:
-    """The pairs (x, y) whose exact Jaccard similarity reaches ``percent``."""
-    sketches = reps.select("node", "n_shingles", "sketch")
+def _caps(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, cap): the size up to which another document can be similar to this one.
+
+    A document can share no more than its shingles that some other one holds too; with s
+    of those, n + m may not exceed s (1 + p) / p.  A copy whose edits made too many
+    shingles of its own is so known to be alone, without a look at the other copies.  The
+    bit table of shared shingles has a fixed size; a collision only raises a cap."""
+    counts = sets.select(F.explode("shingles").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    table = sets.sparkSession.sparkContext.broadcast(bit_table(counts, "v", 27))
+
+    def run(batches):
+        for b in batches:
+            sizes = b["shingles"].map(len).to_numpy(np.int64)
+            shared = np.array([in_table(table.value, np.asarray(x, np.int64)).sum() for x in b["shingles"]], np.int64)
+            yield pd.DataFrame({"node": b["node"], "n": sizes,
+                                "cap": np.minimum(sizes * 100 // percent, shared * (100 + percent) // percent - sizes)})
+
+    return sets.mapInPandas(run, "node long, n long, cap long").where(f"100 * cap >= {percent} * n")
+
+
+def _confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, t: int, percent: int) -> DataFrame:
+    """The pairs (x, y) whose exact Jaccard similarity reaches ``percent``; the others only cost their sketches."""
     rows = pairs
     for side in ("x", "y"):
-        rows = skew_join(rows, sketches.select(F.col("node").alias(side), F.col("n_shingles").alias("n" + side), F.col("sketch").alias("s" + side)),
+        rows = skew_join(rows, sketches.select(F.col("node").alias(side), F.col("n").alias("n" + side), F.col("sketch").alias("s" + side)),
                          side, ["x", "y"], "inner", hot_keys(pairs, side))
-    rows = rows.where("100 * least(nx, ny) >= %d * greatest(nx, ny)" % percent)
     # Union sketch: the smallest values of the two sketches' union; those in both estimate the similarity.
     rows = rows.withColumn("u", F.slice(F.array_sort(F.array_union("sx", "sy")), 1, k)).withColumn(
         "hits", F.size(F.array_intersect("u", F.array_intersect("sx", "sy"))))
     need = F.least(F.lit(t), F.ceil(F.greatest("nx", "ny") * percent / 100.0))
     likely = stored(rows.where(F.col("hits") >= need).select("x", "y", "nx", "ny"), "likely")
-    ends = likely.select(F.col("x").alias("node")).union(likely.select(F.col("y").alias("node"))).distinct()
-    sets = stored(_full_sets(docs, reps.join(ends, "node", "left_semi").select("node", id_col, "tkey"), id_col, text_col, width), "sets")
     rows = likely
     for side in ("x", "y"):
         rows = skew_join(rows, sets.select(F.col("node").alias(side), F.col("shingles").alias("f" + side)), side, ["x", "y"], "inner",
@@ -151,6 +167,43 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
     return rows.where(F.col("both") * 100 >= (F.col("nx") + F.col("ny") - F.col("both")) * percent).select("x", "y")
 
 
+#: Shingles of a block of documents that are compared with another block in one task, about.
+BLOCK = 1 << 16
+
+
+def _compare_blocks(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents outside the largest component of a list and the other members of such lists.
+
+    Lists are taken together by their largest component.  Its documents and the ones outside
+    are each dealt into blocks of bounded size, every block of the outside ones meets
+    every block of all, and a task compares two blocks by numpy and returns links only."""
+    sizes = named.groupBy("main", "node", "label").agg(F.min("n").alias("n"))
+    total = sizes.groupBy("main").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("label") != F.col("main"), F.col("n"))).alias("out"))
+    dealt = sizes.join(total, "main").join(sets, "node")
+    block = lambda c: F.pmod(F.xxhash64("node"), F.ceil(F.col(c) / BLOCK)).alias("block")
+    rows = F.collect_list(F.struct("node", "label", "shingles"))
+    left = dealt.where("label <> main").groupBy("main", block("out")).agg(rows.alias("xs")).drop("block")
+    right = dealt.groupBy("main", block("all")).agg(rows.alias("ys")).drop("block")
+
+    def run(batches):
+        for b in batches:
+            for xs, ys in zip(b["xs"], b["ys"]):
+                arrays = [np.asarray(y["shingles"], np.int64) for y in ys]
+                size = np.array([len(y) for y in arrays])
+                flat, starts = np.concatenate(arrays), np.concatenate([[0], np.cumsum(size)[:-1]])
+                node, label = (np.array([y[c] for y in ys]) for c in ("node", "label"))
+                for x in xs:
+                    own = np.asarray(x["shingles"], np.int64)
+                    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                    hit = (100 * both >= percent * (len(own) + size - both)) & (label != x["label"])
+                    if hit.any():
+                        other = node[hit]
+                        yield pd.DataFrame({"x": np.minimum(other, x["node"]), "y": np.maximum(other, x["node"])})
+
+    return left.join(right, "main").select("xs", "ys").mapInPandas(run, "x long, y long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for every node on an edge (x, y).
 
@@ -173,7 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 64,
-                    rounds: int = 3) -> DataFrame:
+                    rounds: int = 2) -> DataFrame:
     """One row per input row: id_col, tkey, n_shingles, component_id, kept.
 
     Documents with equal shingle sets form a class; only class representatives go
@@ -189,6 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of NULL id take part; a component of NULL ids only has a NULL component_id.
     Repeated rows share a class and are all reported.  An empty table gives no rows;
     other columns are not read.  kept: the id is the component's."""
+    text_batches(docs.sparkSession)
+    rounds = max(1, rounds)
     similarity, t = percent / 100, min_overlap(k, percent / 100)
     rows = stored(_sketches(docs, id_col, text_col, k, width).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     empty = rows.where("sig is null").select(id_col, "tkey", "n_shingles", F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
@@ -202,45 +257,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot_v = hot_keys(lists, "v")
     lists = stored(skew_join(lists, sizes, "v", ["node"], "inner", hot_v).drop("g"), "lists")
 
-    tried, links = None, None
-    labels = None
+    # Only documents that met another one go on: their sketches, and their full sets from one more scan.
+    met = stored(reps.join(lists.select("node").distinct(), "node", "left_semi").select("node", id_col, "tkey", "sketch"), "met")
+    sets = stored(_full_sets(docs, met, id_col, text_col, width), "sets")
+    caps = stored(_caps(sets, percent), "caps")
+    sketches = met.join(caps, "node").select("node", "n", "sketch")
+    lists = lists.drop("n").join(caps, "node")
+    least = lists.groupBy("v").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("g")).where("g > 1")
+    lists = stored(skew_join(lists, least, "v", ["node"], "inner", hot_v).where("cap >= least").select("v", "node", "n", "cap"), "lists")
+    fits = (F.col("a.n") <= F.col("b.cap")) & (F.col("b.n") <= F.col("a.cap"))
+
+    def central(*by):
+        """Order of pivots: those with the fewest shingles of their own first (copies are closest to them), then a hash."""
+        return F.struct((-F.floor(20 * F.col("cap") / F.col("n"))).alias("o"), F.xxhash64("node", *by).alias("h"), "node")
+
+    tried, links, labels = None, None, None
     for r in range(rounds + 1):
         named = lists
         if labels is not None:
-            named = skew_join(lists, labels, "node", ["v"], "left", []).withColumn("label", F.coalesce("label", "node"))
-            named = stored(named, "named")
+            named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            named = stored(named.withColumn("m", F.struct("node", "n", "cap")), "named")
             # Two members are one pair, which round 0 has tried.
             kinds = (named.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"))
                      .where("lo <> hi and c > 2").select("v"))
             open_lists = skew_join(named, kinds, "v", ["node"], "inner", hot_v)
             per = open_lists.groupBy("v", "label").agg(F.count(F.lit(1)).alias("c"))
-            main = per.groupBy("v").agg(F.max(F.struct("c", "label")).alias("m")).select("v", F.col("m.label").alias("main"))
+            main = per.groupBy("v").agg(F.max(F.struct("c", "label")).alias("x")).select("v", F.col("x.label").alias("main"))
             named = stored(skew_join(open_lists, main, "v", ["node"], "inner", hot_v), "open")
-            lists = named.select("v", "node", "n")
+            lists = named.select("v", "node", "n", "cap")
             if not named.limit(1).count():
                 break
-        if r < rounds:
-            # Pivots: few different ones over the lists of one dense group at first, then by list.
-            spread = F.pmod("v", F.lit(3)) if r == 0 else F.col("v")
-            order = F.xxhash64("node", spread, F.lit(r))
-            # In later rounds members of the largest component serve as pivots for those outside it, and the reverse.
-            if r == 0:
-                pivot = lists.groupBy("v").agg(F.min_by(F.struct("node", "n"), F.struct(order, "node")).alias("p"))
-                pairs = skew_join(lists, pivot, "v", ["node"], "inner", hot_v)
-            else:
-                inner = F.col("label") == F.col("main")
-                pivot = named.where(inner).groupBy("v").agg(F.min_by(F.struct("node", "n"), F.struct(order, "node")).alias("p"))
-                other = named.where(~inner).groupBy("v").agg(F.min_by(F.struct("node", "n"), F.struct(order, "node")).alias("q"))
-                outside = named.where(~inner)
-                pairs = skew_join(outside, pivot, "v", ["node"], "inner", hot_v).select("node", "n", "p").union(
-                    skew_join(outside, other, "v", ["node"], "inner", hot_v).select("node", "n", F.col("q").alias("p")))
-            pairs = pairs.select(F.least("node", "p.node").alias("x"), F.greatest("node", "p.node").alias("y"), F.col("n").alias("na"),
-                                 F.col("p.n").alias("nb"))
+        member = F.struct("node", "n", "cap")
+        if r == 0:
+            # Few different pivots over the lists of one dense group.
+            pivot = lists.groupBy("v").agg(F.min_by(member, central(F.pmod("v", F.lit(3)))).alias("b"))
+            pairs = skew_join(lists.select("v", "node", member.alias("a")), pivot, "v", ["node"], "inner", hot_v)
+        elif r < rounds:
+            # Members outside a list's largest component try one of that component and one of the others, the most central ones.
+            order = central(F.col("v"), F.lit(r))
+            outside = named.where("label <> main")
+            both = named.groupBy("v").agg(F.min_by("m", F.when(F.col("label") == F.col("main"), order)).alias("p"),
+                                          F.min_by("m", F.when(F.col("label") != F.col("main"), order)).alias("q"))
+            pairs = skew_join(outside.select("v", "node", F.col("m").alias("a")), both, "v", ["node"], "inner", hot_v)
+            pairs = pairs.select("a", F.explode(F.array("p", "q")).alias("b"))
         else:
-            a = named.where("label <> main").select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            b = named.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = a.join(b, "v").where("la <> lb").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "na", "nb")
-        pairs = pairs.where((F.col("x") != F.col("y")) & F.expr("100 * least(na, nb) >= %d * greatest(na, nb)" % percent)).select("x", "y").distinct()
+            new = stored(_compare_blocks(named.select("v", "node", "n", "label", "main"), sets, percent), "links")
+            links = new if links is None else links.union(new)
+            labels = components(links)
+            break
+        pairs = pairs.where(fits & (F.col("a.node") != F.col("b.node"))).select(
+            F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -249,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 labels = components(pairs)
             continue
         tried = pairs if tried is None else tried.union(pairs)
-        new = stored(_confirm(pairs, reps, docs, id_col, text_col, k, t, percent, width), "links")
+        new = stored(_confirm(pairs, sketches, sets, k, t, percent), "links")
         links = new if links is None else links.union(new)
         labels = components(links)
 
