@@ -60,11 +60,19 @@ def ctc_collapse(frames, blank: int = 0) -> Column:
 
 
 def one_hot(c, k: int) -> Column:
-    """Dense one-hot vector of width ``k`` (use pyspark.ml OneHotEncoder for wide sparse output)."""
+    """Dense one-hot vector of width ``k`` (``one_hot_sparse`` for wide ones)."""
     x = col_of(c)
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == x).cast("int"))
 
 
+def one_hot_sparse(c, k: int) -> Column:
+    """One-hot vector of any width as struct(size, indices, values); an id outside 0..k-1 or NULL has no entry."""
+    x = col_of(c)
+    inside = F.coalesce((x >= 0) & (x < k), F.lit(False))
+    return F.struct(F.lit(k).alias("size"), F.when(inside, F.array(x.cast("int"))).otherwise(F.array().cast("array<int>")).alias("indices"),
+                    F.when(inside, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values"))
+
+
 def cross_entropy(logits, target) -> Column:
     """-log softmax(logits)[target], computed with the maximum subtracted first."""
     v = col_of(logits)

@@ -1,11 +1,16 @@
 """Byte-pair-encoding vocabulary: learning, encoding and decoding on Spark.
 
 Learning works on the table of distinct pre-tokens with their counts (one row
-per distinct word, not per occurrence).  Each round counts adjacent symbol
-pairs weighted by word count (a group-by with map-side partial sums), takes the
-top pair (a top-1 with partial tops per partition), and rewrites the words that
-contain it.  Rounds are inherently sequential; the lineage is cut with a
-reliable checkpoint every few rounds.
+per distinct word, not per occurrence).  Merges are inherently sequential: a full
+vocabulary takes some thousand rounds, each of which depends on all before it.
+While that table is below a checked size (``LOCAL_SYMBOLS``), one task runs the rounds
+over it with incremental pair counts; beyond, each round is a Spark job that counts
+adjacent symbol pairs weighted by word count (a group-by with map-side partial
+sums), takes the top pair, and rewrites the words that contain it, with a reliable checkpoint
+every few rounds.  Both ways give the same merges.
+
+Encoding is a function of the row alone: the merge table is bounded by the
+vocabulary size, so it travels with the function and nothing is shuffled.
 
 Symbols are integers during learning: a character is its code point, the k-th
 learned token is 2**21 + k.  Ordering by these integers is the same as ordering
@@ -18,15 +23,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexiflow.functions._util import col_of, let
 from lexiflow.functions.arrays import SPECIAL_TOKENS, UNK
 from lexiflow.functions.text import pretokenize
 from lexiflow.session import ensure_checkpoint_dir
 
+#: Symbols of all distinct words up to which one task learns (about 100 bytes each in that task).
+LOCAL_SYMBOLS = 6_000_000
 MERGED_BASE = 1 << 21
 _PAIR_SHIFT = 1 << 22
 
@@ -123,9 +130,77 @@ def _accept_batch(top, bounds, tokens_left: int, limit: int) -> list:
     return taken
 
 
+def _merge_rounds(words, limit: int, known: set) -> list[tuple[str, str, str]]:
+    """Merges of (symbols, count) words until ``limit`` new tokens or no pair is left.
+
+    Pair counts are kept up to date from the words that a merge changes; the next
+    pair is the one of highest count, then lowest left id, then lowest right id
+    (a character's id is its code point, a learned token's follows in order)."""
+    import heapq
+    from collections import Counter, defaultdict
+
+    ids: dict[str, int] = {}
+
+    def rank(t):
+        return ids.get(t, ord(t[0]) if len(t) == 1 else 0)
+
+    counts, where = Counter(), defaultdict(set)
+    for i, (syms, n) in enumerate(words):
+        for pair in zip(syms, syms[1:]):
+            counts[pair] += n
+            where[pair].add(i)
+    entry = lambda pair: (-counts[pair], rank(pair[0]), rank(pair[1]), pair)
+    heap = [entry(pair) for pair in counts]
+    heapq.heapify(heap)
+    merges, fresh = [], 0
+    while fresh < limit and heap:
+        n, _, _, pair = heapq.heappop(heap)
+        if n == 0 or counts[pair] != -n:
+            continue
+        merged = pair[0] + pair[1]
+        merges.append((*pair, merged))
+        if len(merged) > 1:
+            ids.setdefault(merged, MERGED_BASE + len(merges) - 1)
+        if merged not in known:
+            known.add(merged)
+            fresh += 1
+        changed = Counter()
+        for i in where.pop(pair):
+            syms, n = words[i]
+            out, j = [], 0
+            while j < len(syms):
+                both = syms[j] == pair[0] and j + 1 < len(syms) and syms[j + 1] == pair[1]
+                out.append(merged if both else syms[j])
+                j += 1 + both
+            if len(out) < len(syms):
+                for p in zip(syms, syms[1:]):
+                    changed[p] -= n
+                for p in zip(out, out[1:]):
+                    changed[p] += n
+                    where[p].add(i)
+                words[i] = (out, n)
+        for p, n in changed.items():
+            if n:
+                counts[p] += n
+                heapq.heappush(heap, entry(p))
+    return merges
+
+
+def _learn_in_task(words: DataFrame, limit: int, known: set) -> list[tuple[str, str, str]]:
+    """``_merge_rounds`` over the whole (size-checked) word table, in one task; only merges come back."""
+    def run(batches):
+        table = [(list(w), int(n)) for b in batches for w, n in zip(b["word"], b["n"]) if len(w) > 1]
+        table.sort(key=lambda r: r[0])
+        merges = _merge_rounds(table, limit, set(known))
+        yield pd.DataFrame([(k, *m) for k, m in enumerate(merges)], columns=["k", "l", "r", "m"])
+
+    rows = words.select("word", "n").coalesce(1).mapInPandas(run, "k int, l string, r string, m string").collect()
+    return [(r["l"], r["r"], r["m"]) for r in sorted(rows, key=lambda r: r["k"])]
+
+
 def learn_bpe(df: DataFrame, c: str = "text", vocab_size: int = 4048, specials=None,
               max_merges: int | None = None, checkpoint_every: int = 10, batch: int = 1,
-              candidates: int = 64) -> BPEModel:
+              candidates: int = 64, local_symbols: int = LOCAL_SYMBOLS) -> BPEModel:
     """Learn specials + alphabet + merges until ``vocab_size`` tokens (or
     ``max_merges`` merges, or no pair left).
 
@@ -134,11 +209,21 @@ def learn_bpe(df: DataFrame, c: str = "text", vocab_size: int = 4048, specials=N
     order (``_accept_batch``), so the result is identical to ``batch=1``.  It
     costs one more small job per round and pays off once later rounds accept
     many merges (long vocabularies); measured slower for the first ~60 merges
-    on sf0.01 (42.9 s vs 27.7 s), hence the default of one merge per round."""
+    on sf0.01 (42.9 s vs 27.7 s), hence the default of one merge per round.
+
+    Up to ``local_symbols`` symbols over all distinct words the rounds run in one task."""
     spark = df.sparkSession
     specials = list(SPECIAL_TOKENS if specials is None else specials)
     ensure_checkpoint_dir(spark)
-    words = word_counts(df, c)
+    words = word_counts(df, c).where(F.col("word").isNotNull()).checkpoint()
+    if (words.agg(F.sum(F.char_length("word"))).first()[0] or 0) <= local_symbols:
+        letters = sorted({r["ch"] for r in words.select(F.explode(_chars(F.col("word"))).alias("ch")).distinct().collect()}, key=ord)
+        tokens = specials + [ch for ch in letters if ch not in specials]
+        room = vocab_size - len(tokens)
+        merges = _learn_in_task(words, room, set(tokens)) if room > 0 else []
+        merges = merges if max_merges is None else merges[:max_merges]
+        tokens += [m for m in dict.fromkeys(m for _, _, m in merges) if m not in set(tokens)]
+        return BPEModel(tokens=tokens, merges=merges, specials=specials)
     # Written once: the alphabet and every round read this table.
     state = initial_symbols(words).where(F.size("syms") >= 1).checkpoint()
     alphabet = sorted(r["cp"] for r in state.select(F.explode("syms").alias("cp")).distinct().collect())
@@ -208,72 +293,90 @@ def learn_bpe(df: DataFrame, c: str = "text", vocab_size: int = 4048, specials=N
 
 # --------------------------------------------------------------- encoding ----
 def _merge_word(word: str, ranks: dict, tok2id: dict, unk: int) -> list[int]:
-    """Repeatedly merge the adjacent pair of lowest rank (leftmost on ties)."""
-    syms = list(word)
-    while len(syms) > 1:
-        best = None
-        for i in range(len(syms) - 1):
-            m = ranks.get((syms[i], syms[i + 1]))
-            if m is not None and (best is None or m[0] < best[0]):
-                best = (m[0], i, m[1])
-        if best is None:
-            break
-        _, i, t = best
-        syms[i:i + 2] = [t]
-    return [tok2id.get(s, unk) for s in syms]
-
+    """Repeatedly merge the adjacent pair of lowest rank (leftmost on ties): a
+    linked list of symbols and a heap of pairs, O(L log L) for any length."""
+    import heapq
 
-def encode_words(words: DataFrame, model: BPEModel, word: str = "word", unk: int = UNK) -> DataFrame:
-    """(word, ids ARRAY<INT>) for a table of distinct words.  Each word is a
-    short string, so the per-word merge loop is a small Arrow-batched helper;
-    the merge table (bounded by ``vocab_size``) travels with the function."""
-    ranks = {}
+    syms = list(word)
+    n = len(syms)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = []
+    for i in range(n - 1):
+        m = ranks.get((syms[i], syms[i + 1]))
+        if m is not None:
+            heap.append((m[0], i, syms[i], syms[i + 1]))
+    heapq.heapify(heap)
+    while heap:
+        k, i, left, right = heapq.heappop(heap)
+        j = after[i] if syms[i] is not None else n
+        if j >= n or syms[i] != left or syms[j] != right:
+            continue  # one of the two has been merged since
+        syms[i], syms[j] = ranks[(left, right)][1], None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n:
+                m = ranks.get((syms[a], syms[b]))
+                if m is not None:
+                    heapq.heappush(heap, (m[0], a, syms[a], syms[b]))
+    return [tok2id.get(s, unk) for s in syms if s is not None]
+
+
+#: Words that a task remembers with their ids.
+MEMO_WORDS = 200_000
+
+
+def encode_tokens(model: BPEModel, unk: int = UNK):
+    """Column function: pre-tokens (array of strings) -> struct(ids, word_ids), row by row in Arrow batches."""
+    ranks: dict = {}
     for k, (l, r, m) in enumerate(model.merges):
         ranks.setdefault((l, r), (k, m))
     tok2id = model.token_to_id
-
-    def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            yield pd.DataFrame({word: pdf[word],
-                                "ids": [_merge_word(w, ranks, tok2id, unk) for w in pdf[word]]})
-    schema = T.StructType([T.StructField(word, T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return words.select(word).mapInPandas(run, schema)
+    memo: dict[str, list[int]] = {}
+
+    @F.pandas_udf("ids array<int>, word_ids array<int>")
+    def run(tokens: pd.Series) -> pd.DataFrame:
+        ids, wids = [], []
+        for row in tokens:
+            parts = []
+            for w in (() if row is None else row):
+                got = memo.get(w)
+                if got is None:
+                    if len(memo) >= MEMO_WORDS:
+                        memo.clear()
+                    got = memo[w] = _merge_word(w, ranks, tok2id, unk)
+                parts.append(got)
+            ids.append([i for p in parts for i in p])
+            wids.append([k for k, p in enumerate(parts) for _ in p])
+        return pd.DataFrame({"ids": ids, "word_ids": wids})
+    return run
 
 
 def encode_columns(df: DataFrame, cols, model: BPEModel, key: str = "row_id", outs=None,
                    with_word_ids: bool = False) -> DataFrame:
-    """(key, ids per column[, word ids]) for one or more text columns.
-
-    All columns share one distinct-word table, encoded once; tokens meet it in
-    a join (broadcast by AQE when the table is small, skew-split otherwise);
-    one group-by on the row key reassembles every column in order.  Rows
-    without pre-tokens get empty arrays."""
+    """(key, ids per column[, word ids]) for one or more text columns, one row per
+    row of ``df`` (repeated and NULL keys are rows like others; a text without
+    pre-tokens or a NULL text gets empty arrays).  Nothing is shuffled."""
     outs = list(outs or [f"{c}_ids" for c in cols])
-    parts = [df.select(key, F.lit(i).alias("_c"), F.posexplode_outer(pretokenize(c)).alias("wpos", "word"))
-             for i, c in enumerate(cols)]
-    toks = parts[0]
-    for p_ in parts[1:]:
-        toks = toks.unionByName(p_)
-    enc = encode_words(toks.select("word").where(F.col("word").isNotNull()).distinct(), model)
-    joined = toks.join(enc, "word", "left")
-    aggs = [F.sort_array(F.collect_list(F.when((F.col("_c") == i) & F.col("ids").isNotNull(),
-                                               F.struct("wpos", "ids")))).alias(f"_p{i}") for i in range(len(cols))]
-    per_row = joined.groupBy(key).agg(*aggs)
-    sel = [key]
+    run = encode_tokens(model)
+    enc = df.select(key, *[run(pretokenize(c)).alias(f"_e{i}") for i, c in enumerate(cols)])
+    sel = [F.col(key)]
     for i, o in enumerate(outs):
-        sel.append(F.flatten(F.transform(f"_p{i}", lambda s_: s_["ids"])).alias(o))
+        sel.append(F.col(f"_e{i}.ids").alias(o))
         if with_word_ids:
-            sel.append(F.flatten(F.transform(f"_p{i}", lambda s_: F.array_repeat(s_["wpos"], F.size(s_["ids"]))))
-                       .alias(f"{o}_word_ids" if len(outs) > 1 else "word_ids"))
-    return per_row.select(*sel)
+            sel.append(F.col(f"_e{i}.word_ids").alias(f"{o}_word_ids" if len(outs) > 1 else "word_ids"))
+    return enc.select(*sel)
 
 
 def bpe_encode(df: DataFrame, c: str, model: BPEModel, key: str = "row_id", out: str = "ids",
                with_word_ids: bool = False) -> DataFrame:
-    """Encode a text column and keep the other columns of ``df``."""
-    enc = encode_columns(df, [c], model, key, [out], with_word_ids)
-    return df.join(enc, key)
+    """Encode a text column and keep the other columns of ``df`` (row by row, no shuffle)."""
+    enc = df.withColumn("_e", encode_tokens(model)(pretokenize(c)))
+    enc = enc.withColumn(out, F.col("_e.ids"))
+    if with_word_ids:
+        enc = enc.withColumn("word_ids", F.col("_e.word_ids"))
+    return enc.drop("_e")
 
 
 # --------------------------------------------------------------- decoding ----
@@ -295,14 +398,10 @@ def bpe_decode(ids, model: BPEModel, word_ids=None, mode: str = "space_join") ->
         return F.array_join(F.transform(keep, lambda z: z["t"]), " ")
     z = F.arrays_zip(col_of(ids).alias("i"), toks.alias("t"), col_of(word_ids).alias("w"))
     keep = F.filter(z, lambda e: e["i"] >= F.lit(n_special))
-    glued = F.aggregate(
-        keep, F.struct(F.lit("").alias("s"), F.lit(-1).alias("w")),
-        lambda acc, e: F.struct(
-            F.when(acc["w"] == e["w"], F.concat(acc["s"], e["t"]))
-            .when(acc["w"] < 0, e["t"])
-            .otherwise(F.concat(acc["s"], F.lit(" "), e["t"])).alias("s"),
-            e["w"].alias("w")))
-    return glued["s"]
+    # A space before each token that starts a word; one join over all pieces keeps this linear.
+    def pieces(k):
+        return F.transform(k, lambda e, i: F.concat(F.when((i > 0) & (F.get(k, i - 1)["w"] != e["w"]), " ").otherwise(""), e["t"]))
+    return F.array_join(let(keep, pieces), "")
 
 
 def word_positions(c) -> Column:

@@ -24,31 +24,46 @@ from lexiflow.session import ensure_checkpoint_dir
 _ROW_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
 
 
-def with_row_index(df: DataFrame, order: Sequence[str], out: str = "idx",
-                   n_parts: int | None = None, with_total: bool = False) -> DataFrame:
-    """Dense 0-based index in ``order`` (a unique key of plain columns).
+def key_index(df: DataFrame, order: Sequence[str], out: str = "idx", n_parts: int | None = None,
+              with_total: bool = False) -> DataFrame:
+    """(order columns, ``out``): the dense 0-based index of every key, written once.
 
-    Only the key columns go through the range shuffle and the checkpoint; the
-    index comes back to the full rows with one equi-join on the key."""
+    The order columns must tell all rows apart (NULL is a value like others and
+    comes first); repeated keys raise, since no index of theirs is reproducible."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [c for c in order]
-    narrow = df.select(*keys)
-    tagged = (narrow.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    keys = list(order)
+    tagged = (df.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), _ROW_BITS))
               .checkpoint())
+    if tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
+        raise ValueError(f"rows repeat the order key {keys}; add columns that tell them apart")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # At most ``n`` rows: the running sum runs on one task by design.
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
                             F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    idx = tagged.join(F.broadcast(offsets), "_pid").select(
+    return tagged.join(F.broadcast(offsets), "_pid").select(
         *keys, (F.col("_off") + F.col("_pos")).alias(out), *(["_total"] if with_total else []))
+
+
+def with_row_index(df: DataFrame, order: Sequence[str], out: str = "idx",
+                   n_parts: int | None = None, with_total: bool = False) -> DataFrame:
+    """Dense 0-based index in ``order`` (columns that tell all rows apart; see ``key_index``).
+
+    Only the key columns go through the range shuffle and the checkpoint; the
+    index comes back to the full rows with one null-safe join on the key."""
+    keys = list(order)
+    idx = key_index(df, keys, out, n_parts, with_total)
     if set(df.columns) == set(keys):
         return idx
-    return df.join(idx, keys)
+    idx = idx.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in idx.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(idx[f"_k_{k}"])
+    return df.join(idx, cond).drop(*[f"_k_{k}" for k in keys])
 
 
 def with_bucketed_index(df: DataFrame, bucket: Column, order: Sequence[str | Column], out: str = "idx",

@@ -1,11 +1,19 @@
-"""Metric tables: epoch means of step metrics and early-stopping points."""
+"""Metric tables: epoch means of step metrics, early-stopping points, loss over
+positions and the word error rate of score tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexiflow.functions._util import col_of
+from lexiflow.functions.arrays import argmax, cross_entropy
+from lexiflow.functions.wer import wer
+from lexiflow.operators.udf import register_metric
+
 
 def epoch_metrics(metrics: DataFrame, keys=("run", "epoch", "name")) -> DataFrame:
     """Mean of each metric per epoch, weighted by the rows behind each step.
@@ -40,3 +48,21 @@ def early_stop(epochs: DataFrame, name: str, patience: int = 5, mode: str = "min
         F.count(F.lit(1)).cast("bigint").alias("n_epochs"))
     return best.select(run, F.col("_b").getField(epoch).alias("best_epoch"),
                        F.col("_b.value").alias("best_value"), "stop_epoch", "n_epochs")
+
+
+def cross_entropy_mean(df: DataFrame, logits: str, target: str, by: Sequence[str] = (), ignore: int = -100) -> DataFrame:
+    """Mean cross-entropy per group over the positions (rows) whose target is not
+    ``ignore``, and their number.  A group of ignored positions only has a NULL loss."""
+    counted = F.col(target) != F.lit(ignore)
+    loss = F.when(counted, cross_entropy(logits, F.when(counted, F.col(target)).otherwise(F.lit(0))))
+    return df.groupBy(*by).agg(F.avg(loss).alias("loss"), F.count(loss).alias("n_positions"))
+
+
+def score_wer(scores, labels, decode: Callable[[Column], Column]) -> Column:
+    """Metric of a score table: best id per step of ``scores`` (array of vectors), both id
+    lists decoded to text, and their word error rate."""
+    best = F.transform(col_of(scores), lambda v: argmax(v))
+    return wer(decode(best), decode(col_of(labels)))
+
+
+register_metric("score_wer", score_wer)

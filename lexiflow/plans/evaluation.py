@@ -20,7 +20,7 @@ from lexiflow.operators import index as ix
 def evaluate(pairs: DataFrame, pseudo: DataFrame, fractions=(0.6, 0.8), min_freq: int = 10,
              unique: bool = True, by_split: bool = True) -> DataFrame:
     nn = ev.drop_null(pairs, ["hyp"])
-    sp = ix.positional_split(nn, ["row_id"], fractions).checkpoint()
+    sp = ix.positional_split(nn, ["row_id"], fractions)  # the index itself is stored
     corr = C.fit_corrector(sp.where(F.col("split") == "train"), "ref")
     fixed = C.correct(sp, "hyp", corr, min_freq=min_freq, unique=unique)
     other = ev.pseudo_with_path(pseudo)

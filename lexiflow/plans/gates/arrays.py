@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiflow.functions import arrays as A
+from lexiflow.operators import metrics as M
 from lexiflow.operators import noise
+from lexiflow.operators import udf as U
 from lexiflow.plans import sqlfrag as q
 from lexiflow.plans.registry import register
 from lexiflow.sources import fixtures as fx
@@ -21,21 +23,21 @@ def _ids(spark, sf):
 select row_id, array_to_string({q.substitute('ids', str(SEED), str(EPOCH), 'row_id')}, ',') as ids from ids""")
 def q_noise_substitute(spark, sf):
     d = _ids(spark, sf)
-    return d.select("row_id", A.ids_text(noise.substitute("ids", SEED, F.lit(EPOCH), F.col("row_id"))).alias("ids"))
+    return d.select("row_id", A.ids_text(noise.substitute("ids", SEED, EPOCH, "row_id")).alias("ids"))
 
 
 @register("noise_insert", f"""with {q.ids_cte()}
 select row_id, array_to_string({q.insert('ids', 'len(ids)', str(SEED), str(EPOCH), 'row_id')}, ',') as ids from ids""")
 def q_noise_insert(spark, sf):
     d = _ids(spark, sf)
-    return d.select("row_id", A.ids_text(noise.insert("ids", SEED, F.lit(EPOCH), F.col("row_id"))).alias("ids"))
+    return d.select("row_id", A.ids_text(noise.insert("ids", SEED, EPOCH, "row_id")).alias("ids"))
 
 
 @register("noise_mixture", f"""with {q.ids_cte()}
 select row_id, array_to_string({q.corrupt('ids', str(SEED), str(EPOCH), 'row_id')}, ',') as ids from ids""")
 def q_noise_mixture(spark, sf):
     d = _ids(spark, sf)
-    return d.select("row_id", A.ids_text(noise.corrupt_batched("ids", SEED, EPOCH, F.col("row_id"))).alias("ids"))
+    return d.select("row_id", A.ids_text(noise.corrupt("ids", SEED, EPOCH, "row_id")).alias("ids"))
 
 
 @register("bos_eos", f"""with {q.ids_cte()}
@@ -51,7 +53,7 @@ noisy as (select row_id, {q.corrupt('ids', str(SEED), str(EPOCH), 'row_id')} as
 
 
 def _noisy(spark, sf):
-    return _ids(spark, sf).select("row_id", noise.corrupt_batched("ids", SEED, EPOCH, F.col("row_id")).alias("ids"))
+    return _ids(spark, sf).select("row_id", noise.corrupt("ids", SEED, EPOCH, "row_id").alias("ids"))
 
 
 @register("pad_mask", _NOISY_SQL + """
@@ -112,6 +114,38 @@ def q_cross_entropy(spark, sf):
     return fx.logits(spark, sf).select("vec_id", F.round(A.cross_entropy("embedding", "label"), 6).alias("loss"))
 
 
+@register("one_hot_wide", """
+select vec_id, 20000 as size, array_to_string([label], ',') as indices, 1 as n_entries from embeddings""")
+def q_one_hot_wide(spark, sf):
+    v = fx.logits(spark, sf).select("vec_id", A.one_hot_sparse("label", 20000).alias("v"))
+    return v.select("vec_id", "v.size", A.ids_text("v.indices").alias("indices"), F.size("v.values").cast("int").alias("n_entries"))
+
+
+@register("cross_entropy_mean", """
+with m as (select vec_id // 8 as batch, case when vec_id % 4 = 0 then null else label end as label, embedding,
+                  list_max(embedding)::double as mx from embeddings)
+select batch::bigint as batch, round(avg(ln(list_sum(list_transform(embedding, lambda x: exp(x::double - mx)))) + mx
+                     - embedding[label + 1]::double), 6) as loss, count(label)::bigint as n_positions from m group by 1""")
+def q_cross_entropy_mean(spark, sf):
+    d = fx.logits(spark, sf).select(F.floor(F.col("vec_id") / 8).cast("bigint").alias("batch"), "embedding",
+                                    F.when(F.col("vec_id") % 4 == 0, F.lit(-100)).otherwise(F.col("label")).alias("target"))
+    return M.cross_entropy_mean(d, "embedding", "target", ["batch"]).withColumn("loss", F.round("loss", 6))
+
+
+@register("score_wer", _FRAMES_SQL + f""",
+b as (select vec_id, list_transform(frames, lambda x: (list_position(x, list_max(x)) - 1)::int) as best from fr),
+l as (select vec_id, best, list_transform(best, lambda x, i: case when (vec_id + i - 1) % 5 = 0 then (x + 1) % 4 else x end) as lab from b),
+t as (select vec_id, list_transform(best, lambda x: 't' || x) as h, list_transform(lab, lambda x: 't' || x) as r from l)
+select vec_id, {q.edit_distance('h', 'r')}::bigint as errors, len(r)::bigint as ref_words from t""")
+def q_score_wer(spark, sf):
+    """Score table -> best ids -> text -> word error rate, through the registered user metric."""
+    fr = fx.frames(spark, sf)
+    labels = F.transform(F.transform("frames", A.argmax), lambda x, i: F.when((F.col("vec_id") + i) % 5 == 0, (x + 1) % 4).otherwise(x))
+    decode = lambda ids: F.array_join(F.transform(ids, lambda x: F.concat(F.lit("t"), x.cast("string"))), " ")
+    s = fr.select("vec_id", U.metric("score_wer", "frames", labels, decode).alias("s"))
+    return s.select("vec_id", "s.errors", "s.ref_words")
+
+
 @register("position_features", _FRAMES_SQL + """,
 x as (select vec_id, unnest(range(0, 16)) as frame, frames from fr),
 y as (select vec_id, frame, unnest(range(0, 4)) as slot, frames[frame + 1] as v from x)

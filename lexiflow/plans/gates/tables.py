@@ -20,7 +20,7 @@ from lexiflow.sources.tables import table
 PAIRS_SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("path", T.StringType()),
                              T.StructField("hyp", T.StringType()), T.StructField("ref", T.StringType())])
 SPLIT_FRACTIONS = (0.6, 0.8)
-OFFSET = 800
+OFFSET = 150
 BATCH = 2
 
 
@@ -85,6 +85,42 @@ def q_positional_split(spark, sf):
     return ix.positional_split(nn, ["row_id"], SPLIT_FRACTIONS)
 
 
+@register("positional_split_absolute", _NN + """,
+i as (select row_id, (row_number() over (order by row_id) - 1)::bigint as idx from nn)
+select row_id, idx, case when idx < 120 then 'train' when idx < 150 then 'valid' else 'test' end as split from i""")
+def q_positional_split_absolute(spark, sf):
+    """Fixed bounds, and one file per split read back."""
+    nn = drop_null(fx.pairs(spark, sf), ["hyp"]).select("row_id")
+    sp = ix.positional_split(nn, ["row_id"], (120, 150))
+    path = io.scratch_path(spark, "splits")
+    sp.write.partitionBy("split").parquet(path)
+    return io.read_splits(spark, {s: f"{path}/split={s}" for s in ("train", "valid", "test")}).select("row_id", "idx", "split")
+
+
+@register("preview_documents", "select doc_id, lang from documents order by doc_id limit 5")
+def q_preview_documents(spark, sf):
+    """The first rows of a table (a preview is the feature)."""
+    return io.preview_rows(table(spark, sf, "documents").select("doc_id", "lang").orderBy("doc_id"), 5)
+
+
+@register("cached_table", f"select doc_id, len({q.words('text')})::bigint as n_words from documents")
+def q_cached_table(spark, sf):
+    """A table written once and read again from its files."""
+    path = io.scratch_path(spark, "cached")
+    d = table(spark, sf, "documents")
+    io.materialize(d.select("doc_id", F.size(words("text")).cast("bigint").alias("n_words")), path)
+    return io.materialize(d.limit(0), path)
+
+
+@register("scan_pandas_pairs", f"with {q.pairs_cte()} select row_id, path, hyp, ref from pairs")
+def q_scan_pandas_pairs(spark, sf):
+    """A file as a pandas sink writes it (unnamed index first, other column order), by name with a schema."""
+    path = io.scratch_path(spark, "pandas-csv")
+    d = fx.pairs(spark, sf).select(F.monotonically_increasing_id().alias(" "), "path", "ref", "hyp", "row_id")
+    d.write.options(**io.CSV_OPTIONS).option("header", "true").csv(path)
+    return io.read_pairs(spark, path, schema=PAIRS_SCHEMA)
+
+
 @register("offset_rows", f"with {q.pairs_cte()} select row_id, path from pairs order by row_id offset {OFFSET}")
 def q_offset_rows(spark, sf):
     return ix.offset_rows(fx.pairs(spark, sf).select("row_id", "path"), ["row_id"], OFFSET)
@@ -96,7 +132,7 @@ select row_id, path, case when idx < floor({SPLIT_FRACTIONS[0]}::double * n) the
 from i where idx < floor({SPLIT_FRACTIONS[1]}::double * n)""")
 def q_read_splits(spark, sf):
     nn = drop_null(fx.pairs(spark, sf), ["hyp"]).select("row_id", "path")
-    sp = ix.positional_split(nn, ["row_id"], SPLIT_FRACTIONS).checkpoint()
+    sp = ix.positional_split(nn, ["row_id"], SPLIT_FRACTIONS)
     base = io.scratch_path(spark, "splits")
     io.write_pairs(sp.where("split = 'train'").select("row_id", "path"), f"{base}/train.csv")
     sp.where("split = 'valid'").select("row_id", "path").write.parquet(f"{base}/valid.parquet")
@@ -163,5 +199,3 @@ def q_file_extension(spark, sf):
     p = table(spark, sf, "pages")
     return p.select("page_id", file_extension("url").alias("ext"), reader_format("url").alias("fmt"))
 
-
-del words

@@ -7,7 +7,9 @@ engine.  The fixed values come from the same constants as the Spark side.
 
 from __future__ import annotations
 
+from lexiflow.functions.arrays import BOS, EOS
 from lexiflow.functions.text import PRETOKEN_PATTERN, WHITESPACE_CLASS
+from lexiflow.operators import noise
 from lexiflow.sources import fixtures as fx
 
 
@@ -56,25 +58,22 @@ pseudo as (
 
 def edit_distance(h: str, r: str) -> str:
     """Exact Levenshtein distance of two word lists (column names): an
-    anti-diagonal DP folded with list_reduce.  Diagonal d holds cells i in
-    [max(0, d - m), min(n, d)], each from the two diagonals before it."""
+    anti-diagonal DP folded with list_reduce.  Diagonal d holds the cells i (with
+    j = d - i) inside the lists and at most k off the main diagonal, each from the
+    two diagonals before it.  k = mismatches position by position + difference of
+    lengths is a way to edit one list into the other, so no better way leaves the band."""
     n, m = f"len({h})", f"len({r})"
-    lo = lambda d: f"greatest(0, {d} - {m})::bigint"
+    k = f"(len(list_filter(range(1, least({n}, {m}) + 1), lambda q: {h}[q] <> {r}[q])) + abs({n} - {m}))::bigint"
+    lo = f"greatest(0, d - {m}, (d - acc.k + 1) // 2)::bigint"
     return f"""(list_reduce(range(0, {n} + {m} + 1),
-      lambda acc, d: {{'p2': acc.p1, 'o2': acc.o1, 'p1': list_transform(range({lo('d')}, least({n}, d) + 1), lambda i:
+      lambda acc, d: {{'p2': acc.p1, 'o2': acc.o1, 'p1': list_transform(range({lo}, least({n}, d, (d + acc.k) // 2) + 1), lambda i:
           case when i = 0 then d
                when d - i = 0 then i
                else least(coalesce(acc.p1[i - 1 - acc.o1 + 1], 1000000000) + 1,
                           coalesce(acc.p1[i - acc.o1 + 1], 1000000000) + 1,
                           coalesce(acc.p2[i - 1 - acc.o2 + 1], 1000000000)
-                            + case when {h}[i] = {r}[d - i] then 0 else 1 end) end), 'o1': {lo('d')}}},
-      {{'p2': []::bigint[], 'o2': 0::bigint, 'p1': []::bigint[], 'o1': 0::bigint}}).p1[-1])"""
-
-
-def wer_cols(hyp: str, ref: str) -> str:
-    """errors, ref_words, wer columns (needs a lateral-free form: computed in a sub-select)."""
-    return f"""{edit_distance(words(hyp), words(ref))}::bigint as errors,
-         len({words(ref)})::bigint as ref_words"""
+                            + case when {h}[i] = {r}[d - i] then 0 else 1 end) end), 'o1': {lo}, 'k': acc.k}},
+      {{'p2': []::bigint[], 'o2': 0::bigint, 'p1': []::bigint[], 'o1': 0::bigint, 'k': {k}}}).p1[-1])"""
 
 
 def word_ids(t: str) -> str:
@@ -92,24 +91,27 @@ def draws(n: str, length: str, seed: str, epoch: str, row: str, slot: str, lo, h
     return f"list_transform(range(0, {n}), lambda k: {{'pos': {pos}, 'val': {val}}})"
 
 
-def n_draws(length: str, rate: float = 0.06) -> str:
-    return f"floor({rate}::double * {length})::int"
+def n_draws(length: str) -> str:
+    return f"floor({noise.NOISE_RATE}::double * {length})::int"
 
 
-def substitute(ids: str, seed: str, epoch: str, row: str, lo=0, hi=19000) -> str:
-    ds = draws(n_draws(f"len({ids})"), f"len({ids})", seed, epoch, row, "sub", lo, hi)
-    return f"list_transform({ids}, lambda x, i: coalesce(list_filter({ds}, lambda d: d.pos = i - 1)[-1].val, x))"
+def substitute(ids: str, seed: str, epoch: str, row: str) -> str:
+    """The draws are bound once per row (a list of one list), then applied."""
+    ds = draws(n_draws(f"len({ids})"), f"len({ids})", seed, epoch, row, "sub", noise.SUB_LO, noise.SUB_HI)
+    return (f"list_transform([{ds}], lambda drawn: list_transform({ids}, lambda x, i: "
+            f"coalesce(list_filter(drawn, lambda d: d.pos = i - 1)[-1].val, x)))[1]")
 
 
-def insert(ids: str, length: str, seed: str, epoch: str, row: str, lo=6, hi=19000) -> str:
-    ds = draws(n_draws(length), length, seed, epoch, row, "ins", lo, hi)
+def insert(ids: str, length: str, seed: str, epoch: str, row: str) -> str:
+    ds = draws(n_draws(length), length, seed, epoch, row, "ins", noise.INS_LO, noise.INS_HI)
     return f"list_reduce({ds}, lambda acc, d: acc[1:d.pos] || [d.val] || acc[d.pos + 1:], {ids})"
 
 
 def corrupt(ids: str, seed: str, epoch: str, row: str) -> str:
     u = uniform(seed, epoch, row, "'mix'")
-    mixed = f"(case when {u} > 0.3::double and {u} < 0.7::double then {substitute(ids, seed, epoch, row)} else {ids} end)"
-    return f"([5] || {insert(mixed, f'len({ids})', seed, epoch, row)} || [6])"
+    mixed = (f"(case when {u} > {noise.MIX_LO}::double and {u} < {noise.MIX_HI}::double "
+             f"then {substitute(ids, seed, epoch, row)} else {ids} end)")
+    return f"([{BOS}] || {insert(mixed, f'len({ids})', seed, epoch, row)} || [{EOS}])"
 
 
 def corpus_cte() -> str:
@@ -144,39 +146,6 @@ def bpe_learn_ctes(rounds: int) -> str:
     return ",\n".join(out)
 
 
-def merges_union(rounds: int) -> str:
-    return " union all ".join(f"select rank, l, r, merged from m{k}" for k in range(rounds))
-
-
-def vocab_cte(rounds: int, specials) -> str:
-    """vocab(id, token, special) of the learned model."""
-    spec = " union all ".join(f"select {i} as id, '{t}' as token, true as special" for i, t in enumerate(specials))
-    n = len(specials)
-    return f"""merges as ({merges_union(rounds)}),
-vocab_alpha as (select ch as token from alpha where ch not in (select token from ({spec}))),
-vocab as (
-  {spec}
-  union all select ({n} - 1 + row_number() over (order by unicode(token)))::int, token, false from vocab_alpha
-  union all select ({n} + (select count(*) from vocab_alpha) - 1 + row_number() over (order by rank))::int, merged, false
-    from (select merged, min(rank) as rank from merges group by merged) nm
-    where merged not in (select token from vocab_alpha))"""
-
-
-def merges_row(rounds: int) -> str:
-    """mm: one row with l{k}, r{k}, g{k} for each learned merge."""
-    cols = ", ".join(f"m{k}.l as l{k}, m{k}.r as r{k}, m{k}.merged as g{k}" for k in range(rounds))
-    return f"mm as (select {cols} from {', '.join(f'm{k}' for k in range(rounds))})"
-
-
-def apply_merges_chain(rounds: int, syms: str) -> str:
-    """Apply merges m0..m{rounds-1} in rank order to a symbol list (needs ``mm`` joined)."""
-    expr = syms
-    for k in range(rounds):
-        expr = (f"list_reduce({expr}, lambda acc, x: case when len(acc) > 0 and acc[-1] = l{k} and x = r{k} "
-                f"then acc[1:-2] || [g{k}] else acc || [x] end, []::varchar[])")
-    return expr
-
-
 def split_ctes(fr=(0.6, 0.8)) -> str:
     """spl(row_id, path, hyp, ref, idx, split): positional split of the pairs
     with a hypothesis, by row id."""
@@ -186,7 +155,7 @@ spl as (select row_id, path, hyp, ref, idx, case when idx < floor({fr[0]}::doubl
             when idx < floor({fr[1]}::double * n) then 'valid' else 'test' end as split from sp)"""
 
 
-def corrector_ctes(min_len: int = 4, min_freq: int = 10) -> str:
+def corrector_ctes(min_freq: int = 10) -> str:
     """fw(word, freq), bg(p, n, count), dix(key, pos, word), fixes(word, fix),
     corrected(row_id, corrected) for the pairs in ``spl``; fitted on train refs."""
     W = words
@@ -195,14 +164,14 @@ bg as (select z[1] as p, z[2] as n, count(*)::bigint as count from (
          select unnest(list_zip(['<s>'] || {W('ref')}, {W('ref')} || ['</s>'])) as z from spl where split = 'train')
        group by all),
 dix as (select substr(word, 1, i) || substr(word, i + 2) as key, i as pos, word
-        from (select word, unnest(range(length(word))) as i from fw where length(word) >= {min_len})),
+        from (select word, unnest(range(length(word))) as i from fw)),
 qw as (select distinct unnest({W('hyp')}) as word from spl),
 unk as (select word from qw where word not in (select word from fw)),
 qd as (select word, substr(word, 1, i) || substr(word, i + 2) as key, i as pos
-       from (select word, unnest(range(length(word))) as i from unk where length(word) >= {min_len - 1})),
+       from (select word, unnest(range(length(word))) as i from unk)),
 cand as (select distinct word, cand from (
            select u.word, d.word as cand from unk u join dix d on d.key = u.word
-           union all select qd.word, f.word from qd join fw f on f.word = qd.key and length(f.word) >= {min_len}
+           union all select qd.word, f.word from qd join fw f on f.word = qd.key
            union all select qd.word, d.word from qd join dix d on d.key = qd.key and d.pos = qd.pos)
          where word <> cand),
 ranked as (select c.word, c.cand, f.freq, count(*) over (partition by c.word) as n_cand,
@@ -213,15 +182,3 @@ ct as (select row_id, unnest(list_zip(range(len({W('hyp')})), {W('hyp')})) as z
 cw as (select ct.row_id, z[1] as i, coalesce(f.fix, z[2]) as w from ct left join fixes f on f.word = z[2]),
 corrected as (select s.row_id, coalesce(string_agg(cw.w, ' ' order by cw.i), '') as corrected
               from spl s left join cw on cw.row_id = s.row_id group by s.row_id)"""
-
-
-def encode_ctes(p: str, src: str, key: str, col: str, rounds: int) -> str:
-    """{p}_ids(key, ids): BPE ids of ``col`` for every row of ``src`` (needs
-    ``vocab`` and ``mm``); merges applied in rank order per pre-token."""
-    pt = pretokens(col)
-    return f"""{p}_t as (select {key} as k, unnest(list_zip(range(len({pt})), {pt})) as z from {src}),
-{p}_e as (select k, z[1] as wp, {apply_merges_chain(rounds, "regexp_extract_all(z[2], '(?s).')")} as toks from {p}_t, mm),
-{p}_u as (select k, wp, unnest(list_zip(range(len(toks)), toks)) as y from {p}_e),
-{p}_i as (select u.k, u.wp, u.y[1] as tp, coalesce(v.id, 0)::int as id from {p}_u u left join vocab v on v.token = u.y[2]),
-{p}_ids as (select s.{key} as k, coalesce(list(i.id order by i.wp, i.tp) filter (where i.id is not null), []::int[]) as ids
-            from {src} s left join {p}_i i on i.k = s.{key} group by s.{key})"""

@@ -9,6 +9,8 @@ used throughout.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,20 +41,30 @@ def _typo(w, row_id, pos, seed):
     return F.when(hit, cut).otherwise(w)
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived input, written once per checkpoint folder and then read like
-    the table it stands in for.  The path carries a digest of this module's
-    source and of the data folder, so a changed derivation is never reused."""
+def fingerprint(spark: SparkSession, sf_dir: str, tables=("documents",)) -> str:
+    """Digest of the tables' file paths, sizes and times, and of this package's functions.
+    Only the listing is read."""
     import hashlib
     import inspect
-    import sys
 
+    from lexiflow.functions import text
+
+    seen = []
+    for t in tables:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        seen += sorted((r["path"], r["length"], str(r["modificationTime"])) for r in files.select("path", "length", "modificationTime").collect())
+    src = "".join(inspect.getsource(m) for m in (sys.modules[__name__], text, rng))
+    return hashlib.sha1(f"{seen}|{src}".encode()).hexdigest()[:16]
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived input, written once per checkpoint folder and then read like the table it
+    stands in for.  Its path carries the fingerprint of what it derives from, so
+    changed files or functions are derived anew."""
     from lexiflow.session import ensure_checkpoint_dir
     from lexiflow.sources.io import materialize
 
-    src = inspect.getsource(sys.modules[__name__])
-    tag = hashlib.sha1((src + "|" + sf_dir.rstrip("/")).encode()).hexdigest()[:16]
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-inputs/{tag}/{name}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-inputs/{fingerprint(spark, sf_dir)}/{name}"
     return materialize(build(), path)
 
 

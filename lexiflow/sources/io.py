@@ -19,26 +19,26 @@ PANDAS_NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-
-
-def _is_index_column(name: str) -> bool:
-    return name == "" or name.startswith("_c") or name.startswith("Unnamed")
+# What the reader calls a first column whose header is empty, and what pandas calls it when it writes such a table again.
+UNNAMED_FIRST = ("_c0", "", "Unnamed: 0")
 
 
 def read_pairs(spark: SparkSession, path: str, na_values: Sequence[str] = (),
-               schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header.  Blank cells are NULL; ``na_values`` adds texts read
-    as NULL (pass ``PANDAS_NA_VALUES`` for pandas parity).  An unnamed index
-    column written by a pandas sink is dropped."""
-    reader = spark.read.options(**CSV_OPTIONS)
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.csv(path)
-    df = df.select([c for c in df.columns if not _is_index_column(c)])
+               schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; columns are taken by name, so a file may hold them in
+    any order and hold more.  With a ``schema`` its columns are selected and cast
+    (a text that does not cast is NULL).  Blank cells are NULL; ``na_values`` adds
+    texts read as NULL (pass ``PANDAS_NA_VALUES`` for pandas parity).  A first
+    column without a name (the index a pandas sink writes) is dropped; no other is.
+    ``multi_line=False`` lets Spark split large files without quoted line breaks."""
+    df = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).csv(path)
+    if df.columns and df.columns[0] in UNNAMED_FIRST:
+        df = df.drop(df.columns[0])
     if na_values:
         na = list(na_values)
-        df = df.select([F.when(F.col(c).isin(na), F.lit(None)).otherwise(F.col(c)).alias(c)
-                        if isinstance(df.schema[c].dataType, T.StringType) else F.col(c) for c in df.columns])
+        df = df.select([F.when(F.col(f"`{c}`").isin(na), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    if schema is not None:
+        df = df.select([F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
     return df
 
 
@@ -78,7 +78,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -89,15 +89,19 @@ def materialize(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     """Reuse a parquet table written earlier unless ``overwrite``; the returned
     frame always reads the files (lineage ends at the table)."""
     spark = df.sparkSession
-    if overwrite or not _exists(spark, path):
+    if overwrite or not exists(spark, path):
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def preview_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    return df.limit(n)
+
+
 def preview(df: DataFrame, n: int = 5) -> list:
     """First ``n`` rows for a look at a large table (the only place a row limit
     is the point); only ``n`` rows reach the driver."""
-    return df.limit(n).collect()
+    return preview_rows(df, n).collect()
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def test_overlap_aaa(spark):
     assert [(r["l"], r["r"], r["count"]) for r in pc] == [(97, 97, 2)]       # overlapping pair counted twice
     m = _learn(spark, ["aaa"], 1)
     assert m.merges == [("a", "a", "aa")]
-    enc = bpe.encode_words(spark.createDataFrame([("aaa",)], "word string"), m).first()["ids"]
+    enc = bpe.encode_columns(spark.createDataFrame([(1, "aaa")], "row_id long, text string"), ["text"], m, outs=["ids"]).first()["ids"]
     assert [m.tokens[i] for i in enc] == ["aa", "a"]                           # left to right, no overlap
 
 
@@ -69,8 +69,90 @@ def test_batched_rounds_equal_single_merge_rounds(spark):
     texts = ["the quick brown fox jumps over the lazy dog", "then there were three thin thieves",
              "she sells sea shells by the sea shore", "aaaa abab baba the the the", "ünïcödé wörds über alles"]
     df = spark.createDataFrame([(t,) for t in texts * 3], "text string")
-    one = bpe.learn_bpe(df, "text", max_merges=40, batch=1)
-    many = bpe.learn_bpe(df, "text", max_merges=40, batch=16)
+    one = bpe.learn_bpe(df, "text", max_merges=40, batch=1, local_symbols=0)
+    many = bpe.learn_bpe(df, "text", max_merges=40, batch=16, local_symbols=0)
     assert one.merges == many.merges and one.tokens == many.tokens
-    capped = bpe.learn_bpe(df, "text", vocab_size=len(one.tokens) - 5, batch=16)
+    capped = bpe.learn_bpe(df, "text", vocab_size=len(one.tokens) - 5, batch=16, local_symbols=0)
     assert capped.tokens == one.tokens[:len(one.tokens) - 5]
+
+
+def _plain_trainer(texts, limit):
+    """Recounts all pairs of all words for every merge."""
+    import re
+    from collections import Counter
+    counts = Counter(w for t in texts for w in re.findall(r"\w+|[^\w\s]+", t))
+    words = [(list(w), n) for w, n in counts.items()]
+    ids, merges = {}, []
+    rank = lambda t: ids.get(t, ord(t[0]) if len(t) == 1 else 0)
+    while len(merges) < limit:
+        pairs = Counter()
+        for s, n in words:
+            for p in zip(s, s[1:]):
+                pairs[p] += n
+        if not pairs:
+            break
+        l, r = min(pairs, key=lambda p: (-pairs[p], rank(p[0]), rank(p[1])))
+        merges.append((l, r, l + r))
+        ids.setdefault(l + r, (1 << 21) + len(merges) - 1)
+        for s, _ in words:
+            i = 0
+            while i < len(s) - 1:
+                if (s[i], s[i + 1]) == (l, r):
+                    s[i:i + 2] = [l + r]
+                i += 1
+    return merges
+
+
+def test_full_vocabulary_equals_plain_trainer_and_rounds(spark):
+    texts = ["the quick brown fox jumps over the lazy dog", "then there were three thin thieves", "aaaa abab baba aaa",
+             "she sells sea shells by the sea shore", "ünïcödé wörds über alles, ab a b!! !!!"] * 2
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    full = bpe.learn_bpe(df, "text", vocab_size=4048)                          # until no pair is left
+    assert full.merges == _plain_trainer(texts, 4048)
+    part = bpe.learn_bpe(df, "text", max_merges=25, local_symbols=0)
+    assert part.merges == full.merges[:25]
+    short = bpe.learn_bpe(df, "text", vocab_size=len(part.tokens))
+    assert short.tokens == part.tokens
+
+
+def test_gate_model_is_full_size(spark):
+    from lexiflow.plans.gates import tokenizer as g
+    from tests.conftest import SF_SMALL
+    m = g._model(spark, SF_SMALL)
+    assert len(m.tokens) == 4048
+    look = g.q_vocab_lookup(spark, SF_SMALL)
+    rows = look.collect()
+    assert all(r["id"] == r["id_back"] and r["token"] == m.tokens[r["id"]] for r in rows)
+    enc = {r["row_id"]: r["ids"] for r in g.q_bpe_encode(spark, SF_SMALL).collect()}
+    assert sum(r["n_uses"] for r in rows) == sum(len(x.split(",")) for x in enc.values() if x)
+    assert all(r["same"] for r in g.q_bpe_save_load(spark, SF_SMALL).collect())
+    words = {r["row_id"]: (r["words"], r["space_join"]) for r in g.q_bpe_decode(spark, SF_SMALL).collect()}
+    pre = {r["doc_id"]: r["joined"] for r in g.q_pretokenize(spark, SF_SMALL).collect()}
+    assert {k: w for k, (w, _) in words.items()} == pre
+    assert all(s.replace(" ", "") == w.replace(" ", "") for w, s in words.values())
+    # Encoding by the merges in rank order, word by word, for a few whole documents.
+    for k in sorted(enc)[:3]:
+        out = []
+        for w in pre[k].split(" "):
+            s = list(w)
+            for l, r, x in m.merges:
+                i = 0
+                while i < len(s) - 1:
+                    if s[i] == l and s[i + 1] == r:
+                        s[i:i + 2] = [x]
+                    i += 1
+            out += [m.token_to_id[t] for t in s]
+        assert ",".join(map(str, out)) == enc[k]
+
+
+def test_encode_without_shuffle_and_long_token(spark):
+    import time
+    m = _learn(spark, ["ab ab abab aaaa"], 5)
+    docs = spark.createDataFrame([(1, "ab aaaa"), (1, "ab"), (None, "abab"), (2, None)], "row_id long, text string")
+    enc = bpe.bpe_encode(docs, "text", m, with_word_ids=True)
+    assert "Exchange" not in enc._jdf.queryExecution().executedPlan().toString()
+    assert enc.count() == 4
+    ranks = {(l, r): (k, x) for k, (l, r, x) in reversed(list(enumerate(m.merges)))}
+    t0 = time.time()
+    bpe._merge_word("ab" * 50_000, ranks, m.token_to_id, 0)
+    assert time.time() - t0 < 2

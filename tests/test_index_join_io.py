@@ -105,3 +105,46 @@ def test_semi_and_anti(spark):
     lab = spark.createDataFrame([(1,), (1,), (3,)], "doc_id int")
     assert sorted(r[0] for r in flt.keep_existing(d, lab, "doc_id").collect()) == [1, 3]   # no multiplication
     assert [r[0] for r in flt.drop_existing(d, lab, "doc_id").collect()] == [2]
+
+
+def test_pandas_written_file_by_name(spark, scratch):
+    import pandas as pd
+    p = f"{scratch}/t.csv"
+    pd.DataFrame({"path": ["/a", "/b"], "_code": ["x", "y"], "label": ["one, two", None], "_confidence": ["0.5", "z"]}).to_csv(p)
+    df = io.read_pairs(spark, p)
+    assert df.columns == ["path", "_code", "label", "_confidence"]
+    schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("path", T.StringType()),
+                           T.StructField("_confidence", T.DoubleType())])
+    rows = io.read_pairs(spark, p, schema=schema, multi_line=False).collect()
+    assert sorted((r["path"], r["label"], r["_confidence"]) for r in rows) == [("/a", "one, two", 0.5), ("/b", None, None)]
+    pd.read_csv(p).to_csv(p)                                                   # written again: a second index column
+    assert io.read_pairs(spark, p).columns[-4:] == ["path", "_code", "label", "_confidence"]
+
+
+def test_index_null_key_and_repeated_keys(spark):
+    df = spark.createDataFrame([(3, "c"), (None, "n"), (1, "a")], "k int, v string")
+    assert sorted((r["v"], r["idx"]) for r in ix.with_row_index(df, ["k"], "idx").collect()) == [("a", 1), ("c", 2), ("n", 0)]
+    with pytest.raises(ValueError):
+        ix.with_row_index(df.union(df.where("k = 1")), ["k"], "idx")
+
+
+def test_checkpoint_folder_must_be_shared(spark):
+    from lexiflow import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return self
+
+        def get(self, k, d=None):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Context()
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session())

@@ -12,9 +12,9 @@ def test_noise_counts_and_lengths(spark):
     rows = [(i, list(range(10, 10 + n))) for i, n in enumerate([1, 2, 16, 17, 50, 351])]
     df = _ids(spark, rows)
     out = df.select("row_id", F.size("ids").alias("L"),
-                    noise.insert("ids", 1, F.lit(0), F.col("row_id")).alias("ins"),
-                    noise.substitute("ids", 1, F.lit(0), F.col("row_id")).alias("sub"),
-                    noise.corrupt("ids", 1, F.lit(0), F.col("row_id")).alias("mix")).collect()
+                    noise.insert("ids", 1, 0, "row_id").alias("ins"),
+                    noise.substitute("ids", 1, 0, "row_id").alias("sub"),
+                    noise.corrupt("ids", 1, 0, "row_id").alias("mix")).collect()
     for r in out:
         n = int(0.06 * r["L"])
         assert len(r["ins"]) == r["L"] + n                 # insertion grows by n
@@ -46,7 +46,7 @@ def test_noise_partition_invariant(spark):
     base = _ids(spark, rows)
     digests = set()
     for n in (1, 4, 17):
-        d = base.repartition(n).select(F.md5(A.ids_text(noise.corrupt("ids", 7, F.lit(2), F.col("row_id")))).alias("h"))
+        d = base.repartition(n).select(F.md5(A.ids_text(noise.corrupt("ids", 7, 2, "row_id"))).alias("h"))
         digests.add(tuple(sorted(r["h"] for r in d.collect())))
     assert len(digests) == 1
 
@@ -91,24 +91,16 @@ def test_position_vector(spark):
                                          [math.sin(3 * div[0]), math.cos(3 * div[0]), math.sin(3 * div[1]), math.cos(3 * div[1])]]
 
 
-def test_batched_noise_equals_column_form(spark):
-    import random
-    rnd = random.Random(5)
-    rows = [(i, [rnd.randint(7, 999) for _ in range(rnd.choice([0, 1, 16, 17, 30, 200, 700]))]) for i in range(60)]
-    df = _ids(spark, rows)
-    out = df.select(A.ids_text(noise.corrupt("ids", 9, F.lit(3), F.col("row_id"))).alias("a"),
-                    A.ids_text(noise.corrupt_batched("ids", 9, 3, F.col("row_id"))).alias("b")).collect()
-    assert all(r["a"] == r["b"] for r in out)
-
-
-def test_place_inserts_matches_list_insert():
-    import random
-    rnd = random.Random(11)
-    for _ in range(300):
-        L = rnd.randint(2, 30)
-        pos = [rnd.randint(1, L - 1) for _ in range(rnd.randint(0, 25))]
-        val = [rnd.randint(1000, 2000) for _ in pos]
-        ref = list(range(L))
-        for p, v in zip(pos, val):
-            ref.insert(p, v)
-        assert list(noise._place_inserts(list(range(L)), pos, val)) == ref
+def test_draws_equal_the_column_draws(spark):
+    from lexiflow.functions import rng
+    df = spark.range(200).select("id", rng.uniform(9, F.lit(3), F.col("id"), "sub_pos", F.lit(4)).alias("u"),
+                                 rng.randint(6, 19000, 9, F.lit(3), F.col("id"), "ins_val", F.lit(0)).alias("k"))
+    for r in df.collect():
+        assert r["u"] == noise._uniform(9, 3, r["id"], "sub_pos", 4)
+        assert r["k"] == noise._between(6, 19000, 9, 3, r["id"], "ins_val", 0)
+
+
+def test_null_ids_stay_null(spark):
+    df = _ids(spark, [(1, None), (2, []), (3, [7])])
+    assert [tuple(r) for r in df.select(noise.corrupt("ids", 1, 0, "row_id"), noise.substitute("ids", 1, 0, "row_id")).collect()] == [
+        (None, None), ([5, 6], []), ([5, 7, 6], [7])]

@@ -10,7 +10,7 @@ from tests.oracle_check import TABLES, rows_of
 
 FAST = ["wer_rows", "wer_report", "join_systems", "build_path", "noise_mixture", "bos_eos", "pad_mask",
         "argmax_vec", "ctc_collapse", "cross_entropy", "position_features", "pretokenize", "word_counts",
-        "bpe_pair_counts", "bpe_merges", "bpe_encode", "vocab_lookup", "exists_flag", "row_index",
+        "bpe_pair_counts", "distinct_word_positions", "noise_substitute", "noise_insert", "delete_index", "greedy_decode", "exists_flag", "row_index",
         "positional_split", "offset_rows", "safe_map_ok", "batch_assign", "pad_batches", "epoch_metrics",
         "early_stop", "correct_words", "drop_inserted", "evaluate_systems"]
 
