@@ -17,9 +17,17 @@ from pyspark.sql import types as T
 
 
 def word_edit_distance(h: list, r: list) -> int:
+    # Equal words at both ends cost nothing in some best alignment.
+    lo, n = 0, min(len(h), len(r))
+    while lo < n and h[lo] == r[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and h[-1 - hi] == r[-1 - hi]:
+        hi += 1
+    h, r = h[lo:len(h) - hi], r[lo:len(r) - hi]
     m = len(r)
-    if m == 0:
-        return len(h)
+    if m == 0 or not h:
+        return max(m, len(h))
     peq: dict = {}
     for j, w in enumerate(r):
         peq[w] = peq.get(w, 0) | (1 << j)

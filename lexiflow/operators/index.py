@@ -21,6 +21,8 @@ from lexiflow.functions import rng
 from lexiflow.functions.arrays import PAD
 from lexiflow.session import ensure_checkpoint_dir
 
+#: Rows of a bucket of the batch shuffle, about.
+ROWS_PER_BUCKET = 20_000
 _ROW_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
 
 
@@ -66,13 +68,12 @@ def with_row_index(df: DataFrame, order: Sequence[str], out: str = "idx",
     return df.join(idx, cond).drop(*[f"_k_{k}" for k in keys])
 
 
-def with_bucketed_index(df: DataFrame, bucket: Column, order: Sequence[str | Column], out: str = "idx",
-                        n_buckets: int = 4096) -> DataFrame:
+def with_bucketed_index(df: DataFrame, bucket: Column, order: Sequence[str | Column], out: str = "idx") -> DataFrame:
     """Global index when an order-preserving bucket of the key is known (for
     instance the leading bits of a hash key, which are uniform): rows are
     numbered inside each bucket by a window partitioned on the bucket, and the
-    bucket's offset comes from the counts per bucket (at most ``n_buckets``
-    rows, so their running sum and broadcast are bounded).  Deterministic,
+    bucket's offset comes from the counts per bucket (one row per bucket: the
+    caller bounds their number).  Deterministic,
     so no checkpoint is needed."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     b = df.withColumn("_b", bucket)
@@ -131,7 +132,9 @@ def assign_batches(df: DataFrame, size: int, seed: int = 1234, epoch: int = 0, r
         # one row per group value: small by construction
         idx = idx.join(F.broadcast(first), by).withColumn("_idx", F.col("_g") - F.col("_first")).drop("_g", "_first", "_k")
     else:
-        idx = with_bucketed_index(keyed, hash_bucket(F.col("_k")), ["_k", row_id], "_idx").drop("_k")
+        # Buckets of some ten thousand rows, at least 2 and at most 2**20 (the offsets are one row per bucket).
+        bits = min(20, max(1, (keyed.count() // ROWS_PER_BUCKET).bit_length()))
+        idx = with_bucketed_index(keyed, hash_bucket(F.col("_k"), bits), ["_k", row_id], "_idx").drop("_k")
     return (idx.withColumn("epoch", ep.cast("int"))
             .withColumn("batch_id", F.floor(F.col("_idx") / F.lit(size)).cast("bigint"))
             .withColumn("batch_pos", (F.col("_idx") % F.lit(size)).cast("int")).drop("_idx"))
