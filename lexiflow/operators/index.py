@@ -32,6 +32,11 @@ def key_index(df: DataFrame, order: Sequence[str], out: str = "idx", n_parts: in
 
     The order columns must tell all rows apart (NULL is a value like others and
     comes first); repeated keys raise, since no index of theirs is reproducible."""
+    return _key_index(df, order, out, n_parts, with_total)[0]
+
+
+def _key_index(df: DataFrame, order: Sequence[str], out: str, n_parts: int | None, with_total: bool) -> tuple[DataFrame, bool]:
+    """The index, and whether a key holds a NULL (both checks read the narrow stored table)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -40,15 +45,18 @@ def key_index(df: DataFrame, order: Sequence[str], out: str = "idx", n_parts: in
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), _ROW_BITS))
               .checkpoint())
-    if tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
+    null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    seen = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.max(null)).first()
+    if (seen[0] or 0) > 1:
         raise ValueError(f"rows repeat the order key {keys}; add columns that tell them apart")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # At most ``n`` rows: the running sum runs on one task by design.
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
                             F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    return tagged.join(F.broadcast(offsets), "_pid").select(
+    idx = tagged.join(F.broadcast(offsets), "_pid").select(
         *keys, (F.col("_off") + F.col("_pos")).alias(out), *(["_total"] if with_total else []))
+    return idx, bool(seen[1])
 
 
 def with_row_index(df: DataFrame, order: Sequence[str], out: str = "idx",
@@ -56,11 +64,14 @@ def with_row_index(df: DataFrame, order: Sequence[str], out: str = "idx",
     """Dense 0-based index in ``order`` (columns that tell all rows apart; see ``key_index``).
 
     Only the key columns go through the range shuffle and the checkpoint; the
-    index comes back to the full rows with one null-safe join on the key."""
+    index comes back to the full rows with one join on the key, null-safe where a
+    key holds a NULL (a plain join leaves the rows dealt by the key for what follows)."""
     keys = list(order)
-    idx = key_index(df, keys, out, n_parts, with_total)
+    idx, null = _key_index(df, keys, out, n_parts, with_total)
     if set(df.columns) == set(keys):
         return idx
+    if not null:
+        return df.join(idx, keys)
     idx = idx.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in idx.columns if c not in keys])
     cond = F.lit(True)
     for k in keys:
