@@ -289,8 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
         member = F.struct("node", "n", "cap")
         if r == 0:
-            # Few different pivots over the lists of one dense group.
-            pivot = lists.groupBy("v").agg(F.min_by(member, central(F.pmod("v", F.lit(3)))).alias("b"))
+            # The lists of one dense group mostly have the same pivot, so a document has few pairs.
+            pivot = lists.groupBy("v").agg(F.min_by(member, central()).alias("b"))
             pairs = skew_join(lists.select("v", "node", member.alias("a")), pivot, "v", ["node"], "inner", hot_v)
         elif r < rounds:
             # Members outside a list's largest component try one of that component and one of the others, the most central ones.
