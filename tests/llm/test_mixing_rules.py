@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,36 @@ def test_native_plans(spark, odd):
 
 def test_empty_tables(none):
     assert mix_sources(none).count() == 0 and q.quality_rules(none).count() == 0
+
+
+def test_shares_follow_the_weights():
+    """The least of one slot is taken from nobody who has more than it by weight."""
+    for n in (20, 99):
+        shares = integer_shares({"big": 0.5, **{f"s{i:03d}": 0.5 / n for i in range(n)}}, 256)
+        assert sum(shares.values()) == 256 and abs(shares["big"] - 128) <= 1
+
+
+@pytest.mark.parametrize("n", [20, 130, 600])
+def test_deviation_from_the_given_weights(spark, n):
+    """After every slot each source is less than a block from the weights of the sources that are left, with any number of sources."""
+    weights = {"big": 0.5, **{f"s{i:03d}": 0.5 * (1 + i % 3) / (2 * n) for i in range(n)}}
+    blocks = {s: (3000 if s == "big" else 5 + i % 17) for i, s in enumerate(weights)}
+    docs = spark.createDataFrame([(s, c) for s, c in blocks.items()], "source string, c int").selectExpr(
+        "source", "explode(sequence(1, c)) as i").selectExpr("xxhash64(source, i) as doc_id", "repeat('x', 99) as text", "source")
+    got = mix_sources(docs, weights, block_chars=100).toPandas().sort_values("slot")
+    assert (got["slot"] == range(sum(blocks.values()))).all()
+    assert (got["release"] <= got["slot"]).all() and (got["slot"] < got["deadline"]).all()
+    names = list(weights)
+    w, left = np.array([weights[s] for s in names]), np.array([blocks[s] for s in names], float)
+    flow, done, index = np.zeros(len(names)), np.zeros(len(names)), {s: i for i, s in enumerate(names)}
+    for s in got["source"]:
+        step = 1.0
+        while step > 1e-12:  # the ideal mix, cut where a source ends
+            live = left - flow > 1e-9
+            if not live.any():
+                break
+            rate = np.where(live, w, 0) / w[live].sum()
+            part = min(step, ((left - flow)[live] / rate[live]).min())
+            flow, step = flow + part * rate, step - part
+        done[index[s]] += 1
+        assert abs(done - flow).max() < 1 + 1e-6
