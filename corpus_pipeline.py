@@ -36,8 +36,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Padding-free sequences of whole documents' pieces."""
-    return pack_documents(docs, with_ids=False)
+    """Padding-free sequences of whole documents' pieces, numbered in the order of the mix within each bucket."""
+    return pack_documents(docs, with_ids=False, in_stored_order=True)
 
 
 STAGES = [

@@ -6,12 +6,14 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexiflow.llm import language_id as li
 from lexiflow.llm import quality_model as qm
 from lexiflow.llm import secrets as sc
 from lexiflow.llm.common import held_out
+from lexiflow.llm.mixing import in_mixed_order, mix_sources
 from lexiflow.llm.packing import binary_pieces
 from lexiflow.llm.queries import QUERIES
 from lexiflow.llm.tokens import load_tokenizer, vocab_path
@@ -185,6 +187,31 @@ def test_pipeline_equals_plain_version(spark, docs):
     assert sorted(tuple(r) for r in got.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()) == plain_pipeline(docs)
 
 
+def test_sequences_follow_the_mix(spark, scratch):
+    """Over many files of different sizes, read in several splits, the ids of each bucket follow (slot, start) of the mix."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    docs = docs.withColumn("text", F.expr("repeat(text, if(doc_id % 9 = 0, 12, 1))"))  # some of several longest pieces
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = mix_sources(docs, block_chars=4000)
+        in_mixed_order(docs, placed).write.option("maxRecordsPerFile", 90).parquet(f"{scratch}/mix")
+        mixed = spark.read.parquet(f"{scratch}/mix")
+        assert len(mixed.inputFiles()) > 8 and mixed.rdd.getNumPartitions() > 2
+        got = corpus_pipeline.pack(spark, mixed, BIG).toPandas()
+        again = corpus_pipeline.pack(spark, mixed, BIG).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got["sequence_id"].is_unique and (got["sequence_id"] // 2 ** 58 == got["bucket"]).all()
+    key = ["bucket", "sequence_id"]
+    assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    got = got.merge(placed.select("doc_id", "slot", F.col("start").alias("at")).toPandas(), on="doc_id")
+    by_id = got.sort_values("sequence_id")[["doc_id", "start"]].to_numpy()
+    by_mix = got.sort_values(["bucket", "slot", "at", "start"])[["doc_id", "start"]].to_numpy()
+    assert (by_id == by_mix).all()
+
+
 def test_stages_on_odd_rows(spark, odd, none):
     for name, stage in corpus_pipeline.STAGES:
         for df in (odd, none):
