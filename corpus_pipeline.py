@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm.common import documents, keep_rows, stored
+from lexiflow.llm.common import documents, drop_rejected, keep_rows, stored
 from lexiflow.llm.exact_dedup import dedup_exact
 from lexiflow.llm.mixing import in_mixed_order, mix_sources
 from lexiflow.llm.near_dedup import near_duplicates
@@ -16,8 +16,9 @@ from lexiflow.llm.quality_rules import quality_rules
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their host's verdict reject go (rows equal in id and text are all judged alike)."""
-    return keep_rows(docs, quality_rules(docs))
+    """Documents that the rules or their host's verdict reject go; each row by its own host, repeated rows alike."""
+    judged = quality_rules(docs).withColumnRenamed("host", "source")
+    return drop_rejected(docs, judged, ["source"])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

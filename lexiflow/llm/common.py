@@ -142,6 +142,23 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def drop_rejected(docs: DataFrame, judged: DataFrame, by: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (id_col, tkey, the columns ``by``, kept; one verdict for rows equal in all but the last) keeps.
+
+    Repeated rows stay repeated.  Only rows that the constant-size filter cannot clear are shuffled with their texts."""
+    keys = [id_col, "tkey", *by]
+    bad = judged.where(~F.col("kept")).select(*[F.col(f"`{c}`").alias(f"__m{i}") for i, c in enumerate(keys)]).distinct()
+    bad = stored(bad.withColumn("__rk", F.xxhash64(*[f"__m{i}" for i in range(len(keys))])), "rejected")
+    own = [F.col(f"`{id_col}`"), text_key(text_col), *[F.col(f"`{c}`") for c in by]]
+    rows = test_filter(docs.withColumn("__rid", F.xxhash64(*own)), F.col("__rid"), key_filter(bad, "__rk"), "__maybe")
+    same = F.col("__rid") == F.col("__rk")
+    for i, c in enumerate(own):
+        same = same & c.eqNullSafe(F.col(f"__m{i}"))
+    clear, met = rows.where(~F.col("__maybe")), rows.where("__maybe").join(bad, same, "left_anti")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return clear.select(*cols).unionByName(met.select(*cols))
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``decided`` (id_col, tkey, kept) keeps, with the columns of ``docs``.
 

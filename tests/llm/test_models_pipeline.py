@@ -18,6 +18,7 @@ from lexiflow.llm.packing import binary_pieces
 from lexiflow.llm.queries import QUERIES
 from lexiflow.llm.tokens import load_tokenizer, vocab_path
 from tests.llm.conftest import SF, frame, rows_of
+from tests.llm.conftest import text as words
 from tests.llm.test_dedup import brute_components
 from tests.llm.test_mixing_rules import counts
 
@@ -187,6 +188,17 @@ def test_pipeline_equals_plain_version(spark, docs):
     assert sorted(tuple(r) for r in got.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()) == plain_pipeline(docs)
 
 
+def test_quality_stage_judges_each_row(spark):
+    """Clean repeated rows all stay; of rows equal in id and text the one of the rejected host goes, the other stays."""
+    good, junk = [words(i, 60) for i in range(40)], [" ".join(w + "###" for w in words(i, 60).split()) for i in range(40)]
+    rows = [(i, good[i], None, "clean") for i in range(30)] + [(100 + i, junk[i], None, "bad") for i in range(30)]
+    rows += [(7, good[7], None, "clean"), (7, good[7], None, "bad"), (8, good[8], None, None), (None, good[9], None, "clean"), (None, good[9], None, "clean"),
+             (None, good[9], None, "bad")]
+    got = corpus_pipeline.apply_quality_rules(spark, frame(spark, rows), SF).select("doc_id", "text", "source").collect()
+    want = [(i, t, src) for i, t, _, src in rows if src != "bad"]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_sequences_follow_the_mix(spark, scratch):
     """Over many files of different sizes, read in several splits, the ids of each bucket follow (slot, start) of the mix."""
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
