@@ -3,8 +3,9 @@
 Runs of key-like characters are tested against the uniform source of the encoding they
 seem to use: chi-squared over the alphabet, runs about the median, lag-1 serial
 correlation.  How far ordinary writing passes these tests depends on the encoding and
-the length, so the null distribution is measured per encoding and length class on the
-letters of the corpus itself, and the cut controls the false-discovery rate."""
+the length, so the null distribution is measured per encoding and length class on all
+letters of the corpus itself, with a smoothed tail below the resolution of its counts,
+and the cut of each encoding and length class controls the false-discovery rate."""
 
 from __future__ import annotations
 
@@ -25,6 +26,7 @@ _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 _NOT_LETTER = re.compile(r"[^A-Za-z]+")
+_SEPARATORS = re.compile(r"[+/_=-]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 #: Encodings from the smallest alphabet to the largest.
@@ -40,12 +42,26 @@ ENCODINGS = tuple(ALPHABETS)
 #: Length classes: (up to, length at which ordinary writing is measured).
 LENGTHS = ((31, 24), (51, 40), (None, 64))
 BINS = 40
-#: One background string per so many characters of every text.
-STRIDE = 512
+#: Background strings that are tested at a time: bounds a task's memory on long texts.
+BATCH = 8192
 _CODE = {}
 for _name, _alphabet in ALPHABETS.items():
     _CODE[_name] = np.full(128, -1, np.int16)
     _CODE[_name][[ord(c) for c in _alphabet]] = np.arange(len(_alphabet))
+# Letters in the case that the encoding has; ordinary runs of hex are digits, so there letters stand for ten digits by their place in the alphabet.
+_LOWER = np.array([ord(chr(i).lower()) for i in range(128)])
+_LETTERS = {_name: (np.clip(_LOWER - 97, 0, 25) * 10 // 26 if _name == "hex" else _code[_LOWER - 32 if _name == "base32" else _LOWER if _name == "base36"
+                    else np.arange(128)]).astype(np.int64) for _name, _code in _CODE.items()}
+#: What stands between words in runs of an encoding: paths and slugs are ordinary writing too.
+BETWEEN = {"base64": "/", "base64url": "_"}
+#: A tail of fewer background strings is smoothed.
+RESOLVED = 30
+#: Letters of English per 1,000, and the strings drawn from them that every background starts with, so that none is empty.
+FREQUENT = {"e": 127, "t": 91, "a": 82, "o": 75, "i": 70, "n": 67, "s": 63, "h": 61, "r": 60, "d": 43, "l": 40, "c": 28, "u": 28, "m": 24, "w": 24,
+            "f": 22, "g": 20, "y": 20, "p": 19, "b": 15, "v": 10, "k": 8, "j": 2, "x": 2, "q": 1, "z": 1}
+#: Words per 1,000 letters.
+WORDS = 215
+REFERENCE = 2000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -80,10 +96,10 @@ def randomness(codes: np.ndarray, size: int) -> np.ndarray:
     """Combined p-value (rows: strings of one length, as letter numbers below ``size``) under the uniform source."""
     n, length = codes.shape
     groups = int(min(size, max(2, length // 5)))
-    cell = codes * groups // size
+    cell = (np.arange(size) * groups // size)[codes]
     share = np.bincount(np.arange(size) * groups // size, minlength=groups) / size
     counts = np.bincount((np.arange(n)[:, None] * groups + cell).ravel(), minlength=n * groups).reshape(n, groups)
-    chi = ((counts - length * share) ** 2 / (length * share)).sum(axis=1)
+    chi = (counts * counts) @ (1 / (length * share)) - length
     df = groups - 1
     p_chi = _normal_tail((np.cbrt(chi / df) - 1 + 2 / (9 * df)) / sqrt(2 / (9 * df)))  # Wilson-Hilferty
     above = codes >= size // 2
@@ -94,8 +110,8 @@ def randomness(codes: np.ndarray, size: int) -> np.ndarray:
     var = np.maximum(1e-9, (mean - 1) * (mean - 2) / (length - 1))
     p_runs = np.where((up == 0) | (down == 0), 1e-12, 2 * _normal_tail(np.abs(runs - mean) / np.sqrt(var)))
     c = codes - codes.mean(axis=1, keepdims=True)
-    spread = np.maximum(1e-9, (c ** 2).sum(axis=1))
-    p_lag = 2 * _normal_tail(np.abs((c[:, 1:] * c[:, :-1]).sum(axis=1) / spread) * sqrt(length - 1))
+    spread = np.maximum(1e-9, np.einsum("ij,ij->i", c, c))
+    p_lag = 2 * _normal_tail(np.abs(np.einsum("ij,ij->i", c[:, 1:], c[:, :-1]) / spread) * sqrt(length - 1))
     # Fisher's combination of three: chi-squared of six degrees of freedom.
     half = -(np.log(np.maximum(p_chi, 1e-12)) + np.log(np.maximum(p_runs, 1e-12)) + np.log(np.maximum(p_lag, 1e-12)))
     return np.exp(-half) * (1 + half + half * half / 2)
@@ -110,13 +126,18 @@ def _bin(p: np.ndarray) -> np.ndarray:
     return np.clip(BINS - 1 + np.floor(4 * np.log10(np.maximum(p, 1e-300))), 0, BINS - 1).astype(np.int64)
 
 
+def _is_hypothesis(core: str) -> bool:
+    """Runs of one character, or of separators without a letter or digit, are no possible keys."""
+    return len(set(core)) > 1 and not _SEPARATORS.fullmatch(core)
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, cell, bin) of every key-like run of at least 20 characters; cell: encoding and length class."""
     out = []
     for m in _RUN.finditer(text):
         name = infer_encoding(m[0])
         core = m[0].rstrip("=")
-        if name is None or len(core) < 20:
+        if name is None or len(core) < 20 or not _is_hypothesis(core):
             continue
         codes = _CODE[name][np.frombuffer((core.lower() if name == "hex" else core).encode(), np.uint8)][None, :].astype(np.int64)
         b = int(_bin(randomness(codes, len(ALPHABETS[name])))[0])
@@ -125,39 +146,63 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def background(texts: list[str]) -> np.ndarray:
-    """Counts (cell, bin) of ordinary writing: the letters after every STRIDE-th place, without what separates words."""
-    longest = LENGTHS[-1][1]
-    chunks = []
-    for t in texts:
-        for at in range(0, len(t), STRIDE):
-            s = _NOT_LETTER.sub("", t[at:at + 3 * longest])
-            if len(s) >= longest:
-                chunks.append(s[:longest])
+    """Counts (cell, bin) of ordinary writing: all letters of every text, with what stands between words in the encoding, cut into strings of each class."""
+    hist = np.zeros((len(ENCODINGS) * len(LENGTHS), BINS), np.int64)
+    for between in sorted({BETWEEN.get(name, "") for name in ENCODINGS}):
+        letters = [_NOT_LETTER.sub(between, t) for t in texts]
+        letters = [s.strip(between) for s in letters] if between else letters
+        for i, (_, n) in enumerate(LENGTHS):
+            raw = np.frombuffer("".join(s[:len(s) // n * n] for s in letters).encode(), np.uint8).reshape(-1, n)
+            for at in range(0, len(raw), BATCH):
+                for e, name in enumerate(ENCODINGS):
+                    if BETWEEN.get(name, "") == between:
+                        b = _bin(randomness(_LETTERS[name][raw[at:at + BATCH]], len(ALPHABETS[name])))
+                        hist[e * len(LENGTHS) + i] += np.bincount(b, minlength=BINS)
+    return hist
+
+
+def reference() -> np.ndarray:
+    """Counts (cell, bin) of REFERENCE strings per cell of independent letters in the frequencies of English (fixed seed)."""
+    rng = np.random.default_rng(0)
     hist = np.zeros((len(ENCODINGS) * len(LENGTHS), BINS), np.int64)
-    if not chunks:
-        return hist
-    raw = np.frombuffer("".join(chunks).encode(), np.uint8).reshape(len(chunks), longest)
-    lower = np.where(raw < 97, raw + 32, raw)
     for e, name in enumerate(ENCODINGS):
-        # Letters in the case that the encoding has; hex keeps sixteen letters by their place in the alphabet.
-        codes = (lower - 97) * 16 // 26 if name == "hex" else _CODE[name][lower - 32 if name == "base32" else lower if name == "base36" else raw]
+        often = FREQUENT | ({BETWEEN[name]: WORDS} if name in BETWEEN else {})
+        codes, share = _LETTERS[name][[ord(c) for c in often]], np.array([*often.values()], float)
         for i, (_, n) in enumerate(LENGTHS):
-            b = _bin(randomness(codes[:, :n].astype(np.int64), len(ALPHABETS[name])))
-            hist[e * len(LENGTHS) + i] += np.bincount(b, minlength=BINS)
+            b = _bin(randomness(codes[rng.choice(len(codes), (REFERENCE, n), p=share / share.sum())], len(ALPHABETS[name])))
+            hist[e * len(LENGTHS) + i] = np.bincount(b, minlength=BINS)
     return hist
 
 
+def tail(counts: np.ndarray) -> np.ndarray:
+    """P(bin >= b) of ordinary strings of one cell.
+
+    Where fewer than RESOLVED strings lie in the tail, it goes on with the factor per bin at which the last
+    resolved factor of ten fell (the tail itself falls faster), and never below the counted share.  If it
+    does not fall that far before, all else is in fewer than RESOLVED strings, and goes on like the p-value itself."""
+    least = counts[::-1].cumsum()[::-1]
+    p = least / max(1, least[0])
+    last = int(np.flatnonzero(least >= min(RESOLVED, least[0]))[-1])
+    beyond = np.maximum(np.arange(BINS) - last, 0)
+    upper = np.flatnonzero(least[:last] >= 10 * least[last])
+    if len(upper):
+        smooth = p[last] * (p[last] / p[upper[-1]]) ** (beyond / (last - upper[-1]))
+    else:
+        smooth = min(1.0, RESOLVED / max(1, least[0])) * 10 ** (-(beyond - 1) / 4)
+    return np.where(beyond > 0, np.maximum(p, smooth), p)
+
+
 def cuts(found: np.ndarray, ordinary: np.ndarray, rate: float) -> list[int]:
     """Per cell the smallest bin that counts as random (BINS: none).
 
     The p-value of a candidate is the share of ordinary strings of its cell that look at
-    least as random; the Benjamini-Hochberg step over all candidates sets the limit."""
-    p = (1 + ordinary[:, ::-1].cumsum(axis=1)[:, ::-1]) / (1 + ordinary.sum(axis=1, keepdims=True))
-    order = np.argsort(p, axis=None, kind="stable")
-    rank, total = found.ravel()[order].cumsum(), found.sum()
-    good = (p.ravel()[order] <= rate * rank / max(1, total)) & (rank > 0)
-    limit = p.ravel()[order][np.flatnonzero(good)[-1]] if good.any() else -1.0
-    return [int(next((b for b in range(BINS) if row[b] <= limit), BINS)) for row in p]
+    least as random; the Benjamini-Hochberg step over the candidates of the cell sets the limit."""
+    out = []
+    for mine, counts in zip(found, ordinary + reference()):
+        p, rank = tail(counts), mine[::-1].cumsum()[::-1]
+        good = (p <= rate * rank / max(1, mine.sum())) & (rank > 0)
+        out.append(int(np.flatnonzero(good)[0]) if good.any() else BINS)
+    return out
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.001) -> DataFrame:
@@ -165,7 +210,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Whole texts are scanned once; spans and candidates go to the shared folder.  Two
     tables of encoding x length class x bin counts, of fixed size, give the cuts; a native filter applies
-    them.  ``rate`` bounds the expected share of ordinary strings among the random spans.
+    them.  ``rate`` bounds the expected share of ordinary strings among the random spans of each encoding and length class.
 
     NULL text counts as empty (no spans); offsets are code points, end exclusive.  Repeated rows and NULL ids are scanned like others.
     An empty table gives no rows; other columns are not read."""

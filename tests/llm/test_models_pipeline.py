@@ -148,6 +148,28 @@ def test_battery_finds_keys_and_leaves_writing(spark):
     assert [rows[60 + i][1][s:e] for i in range(len(plain)) for s, e in got[1000 + i]] == []
 
 
+def test_single_keys_in_small_and_foreign_tables(spark):
+    """One key is found in a small table, in one without Latin letters, and next to any number of rules and paths."""
+    rng = random.Random(11)
+    small = [t for t in rows_of(spark.read.parquet(f"{SF}/documents.parquet"))["text"]]
+    foreign = ["\u0434\u043b\u0438\u043d\u043d\u044b\u0439 \u0442\u0435\u043a\u0441\u0442 " * 30] * 40
+    rules = ["-" * 20 + "\n" + "=" * 40 + "\n" + "_-" * 15 + "\nthe/path/of/the/readable/words/in/here\n"] * 400
+    for texts in (small, foreign, small + rules):
+        for name in ("base62", "base64"):
+            key = "".join(rng.choice(sc.ALPHABETS[name]) for _ in range(40))
+            rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(9999, f"see {key} here", "en", "s")]
+            got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["found"] if x["kind"] == 3] for r in sc.scan_secrets(frame(spark, rows)).collect()}
+            assert got[9999] == [(4, 44)], (name, got[9999])
+            assert not any(got[i] for i in range(len(small) if texts is not foreign else 0, len(texts)))
+    assert sc.candidates("-" * 30 + " " + "a" * 30 + " " + "=-_/" * 8) == []
+
+
+def test_background_takes_all_letters():
+    t = "x1y " * 320
+    got = sc.background([t, "", "\u0434" * 100]).reshape(6, 3, -1).sum(axis=2).tolist()
+    assert got == [[640 // 24, 16, 10]] * 4 + [[1279 // 24, 1279 // 40, 1279 // 64]] * 2  # the last two with a separator between words
+
+
 def test_p_values_of_random_strings_are_spread():
     rng = np.random.default_rng(1)
     for name in sc.ENCODINGS:
