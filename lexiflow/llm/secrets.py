@@ -26,6 +26,9 @@ _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 _NOT_LETTER = re.compile(r"[^A-Za-z]+")
+_NAMED = re.compile(r"[^=]+(?:=+$)?")
+#: Cuts of a run that no alphabet holds: base64 next to - or _, base64url next to / or +, keys among all of these.
+_CUTS = (re.compile(r"[^_-]+"), re.compile(r"[^+/]+"), re.compile(r"[^/_-]+"))
 _SEPARATORS = re.compile(r"[+/_=-]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
@@ -131,17 +134,36 @@ def _is_hypothesis(core: str) -> bool:
     return len(set(core)) > 1 and not _SEPARATORS.fullmatch(core)
 
 
-def candidates(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, cell, bin) of every key-like run of at least 20 characters; cell: encoding and length class."""
+def parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of what is tested in a run: its pieces between ``=`` (padding at the end stays), and where
+    no alphabet holds a piece, the pieces of each cut of at least 20 characters; those may overlap."""
     out = []
-    for m in _RUN.finditer(text):
-        name = infer_encoding(m[0])
+    for m in _NAMED.finditer(run):
         core = m[0].rstrip("=")
-        if name is None or len(core) < 20 or not _is_hypothesis(core):
+        if len(core) < 20:
             continue
-        codes = _CODE[name][np.frombuffer((core.lower() if name == "hex" else core).encode(), np.uint8)][None, :].astype(np.int64)
-        b = int(_bin(randomness(codes, len(ALPHABETS[name])))[0])
-        out.append((m.start(), m.end(), ENCODINGS.index(name) * len(LENGTHS) + length_class(len(core)), b))
+        if infer_encoding(core):
+            out.append((m.start(), m.end()))
+            continue
+        for cut in _CUTS:
+            for x in cut.finditer(core):
+                if len(x[0]) >= 20 and infer_encoding(x[0]):
+                    out.append((m.start() + x.start(), m.end() if x.end() == len(core) else m.start() + x.end()))
+    return sorted(set(out))
+
+
+def candidates(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, cell, bin) of every part of at least 20 characters of the key-like runs; cell: encoding and length class."""
+    out = []
+    for m in _RUN.finditer(text):
+        for at, to in parts(m[0]):
+            core = m[0][at:to].rstrip("=")
+            if not _is_hypothesis(core):
+                continue
+            name = infer_encoding(core)
+            codes = _CODE[name][np.frombuffer((core.lower() if name == "hex" else core).encode(), np.uint8)][None, :].astype(np.int64)
+            b = int(_bin(randomness(codes, len(ALPHABETS[name])))[0])
+            out.append((m.start() + at, m.start() + to, ENCODINGS.index(name) * len(LENGTHS) + length_class(len(core)), b))
     return out
 
 
@@ -192,19 +214,33 @@ def tail(counts: np.ndarray) -> np.ndarray:
     return np.where(beyond > 0, np.maximum(p, smooth), p)
 
 
+def p_values(ordinary: np.ndarray) -> np.ndarray:
+    """(cell, bin): share of ordinary strings of the cell that look at least as random."""
+    return np.array([tail(counts) for counts in ordinary + reference()])
+
+
 def cuts(found: np.ndarray, ordinary: np.ndarray, rate: float) -> list[int]:
     """Per cell the smallest bin that counts as random (BINS: none).
 
     The p-value of a candidate is the share of ordinary strings of its cell that look at
     least as random; the Benjamini-Hochberg step over the candidates of the cell sets the limit."""
     out = []
-    for mine, counts in zip(found, ordinary + reference()):
-        p, rank = tail(counts), mine[::-1].cumsum()[::-1]
+    for mine, p in zip(found, p_values(ordinary)):
+        rank = mine[::-1].cumsum()[::-1]
         good = (p <= rate * rank / max(1, mine.sum())) & (rank > 0)
         out.append(int(np.flatnonzero(good)[0]) if good.any() else BINS)
     return out
 
 
+def overlapping(found: list[tuple[int, int, int, int]]) -> list[bool]:
+    """Per candidate (by start) whether it shares characters with another one."""
+    out, reach = [], 0
+    for i, (start, end, *_) in enumerate(found):
+        out.append(start < reach or (i + 1 < len(found) and found[i + 1][0] < end))
+        reach = max(reach, end)
+    return out
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.001) -> DataFrame:
     """One row per input row: id_col, base (array of kind:start:end), found (all spans: array of struct start, kind, end).
 
@@ -216,20 +252,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives no rows; other columns are not read."""
     text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    spans, cands = "array<struct<start:long,kind:int,end:long>>", "array<struct<start:long,end:long,cell:int,bin:int>>"
+    span_type, cand_type = "array<struct<start:long,kind:int,end:long>>", "array<struct<start:long,end:long,cell:int,bin:int,shared:boolean>>"
 
     def run(batches):
         for b in batches:
             texts = list(b["text"])
+            cands = [candidates(t) for t in texts]
             hist = background(texts).ravel()
             at = np.flatnonzero(hist)
             yield pd.DataFrame({
                 id_col: b["id"], "base": [[{"start": s, "kind": k, "end": e} for s, k, e in base_spans(t)] for t in texts],
-                "cand": [[{"start": s, "end": e, "cell": c, "bin": x} for s, e, c, x in candidates(t)] for t in texts],
+                "cand": [[{"start": s, "end": e, "cell": c, "bin": x, "shared": o} for (s, e, c, x), o in zip(found, overlapping(found))] for found in cands],
                 "seen": [{int(i): int(hist[i]) for i in at}] + [None] * (len(texts) - 1)})
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = stored(rows.mapInPandas(run, f"`{id_col}` {kind}, base {spans}, cand {cands}, seen map<int,long>"), "spans")
+    rows = stored(rows.mapInPandas(run, f"`{id_col}` {kind}, base {span_type}, cand {cand_type}, seen map<int,long>"), "spans")
     shape = (len(ENCODINGS) * len(LENGTHS), BINS)
     ordinary, found = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
     for r in rows.select(F.explode("seen").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
@@ -237,8 +274,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for r in rows.select(F.explode("cand").alias("c")).groupBy("c.cell", "c.bin").agg(F.count(F.lit(1)).alias("n")).collect():
         found[r["cell"], r["bin"]] = r["n"]
     least = F.array(*[F.lit(c) for c in cuts(found, ordinary, rate)])
-    random = F.transform(F.filter("cand", lambda c: c["bin"] >= F.get(least, c["cell"])),
-                         lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    rows = rows.withColumn("hit", F.filter("cand", lambda c: c["bin"] >= F.get(least, c["cell"])))
+    # Of overlapping cuts of one run those with the smaller p-value (then the longer ones) are listed.
+    p = p_values(ordinary)
+    level = F.array(*[F.lit(int(x)) for x in np.unique(p, return_inverse=True)[1].ravel()])
+    ranked = F.array_sort(F.transform(F.filter("hit", lambda c: c["shared"]), lambda c: F.struct(
+        F.get(level, c["cell"] * BINS + c["bin"]).alias("level"), (c["start"] - c["end"]).alias("short"), c["start"].alias("start"), c["end"].alias("end"))))
+    rows = rows.withColumn("ranked", ranked)
+    chosen = """aggregate(ranked, cast(array() as array<struct<start:bigint,kind:int,end:bigint>>), (acc, c) ->
+        if(exists(acc, d -> d.start < c.end and c.start < d.end), acc, array_append(acc, named_struct('start', c.start, 'kind', 3, 'end', c.end))))"""
+    random = F.concat(F.expr("transform(filter(hit, c -> not c.shared), c -> named_struct('start', c.start, 'kind', 3, 'end', c.end))"), F.expr(chosen))
     return rows.select(id_col, "base", F.sort_array(F.concat("base", random)).alias("found"))
 
 

@@ -164,6 +164,23 @@ def test_single_keys_in_small_and_foreign_tables(spark):
     assert sc.candidates("-" * 30 + " " + "a" * 30 + " " + "=-_/" * 8) == []
 
 
+def test_keys_next_to_names_paths_and_separators(spark):
+    """Keys after NAME=, in URLs and connection strings, glued to paths and to other separators; offsets are the key's."""
+    rng = random.Random(5)
+    draw = lambda name, n: "".join(rng.choice(sc.ALPHABETS[name]) for _ in range(n))
+    mixed = lambda name, extra: draw(name, 20) + extra + draw(name, 20) + extra + draw(name, 20)
+    b62, b64, url = draw("base62", 40), mixed("base64", "+/"), mixed("base64url", "-_")
+    lines = [("export AUTH_KEY=", b62, " # set"), ("https://host.example/a/b?sig=", b62, "&x=1"), ("AccountName=x;AccountKey=", b64 + "==", ";End"),
+             ("see usr/local-share/my_dir/", b62, "/more_of it"), ("id_", b64, " end"), ("some/path+to/", url, " end"), ("a=b=", b62, "=c d")]
+    rows = [(i, f"some words {a}{k}{z}", "en", "s") for i, (a, k, z) in enumerate(lines)]
+    rows += [(5000 + d, t, "en", "s") for d, t in rows_of(spark.read.parquet(f"{SF}/documents.parquet")).itertuples(index=False)]
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["found"] if x["kind"] == 3] for r in sc.scan_secrets(frame(spark, rows)).collect()}
+    for i, (a, k, z) in enumerate(lines):
+        at = len("some words " + a)
+        assert got[i] == [(at, at + len(k))], (i, a, [rows[i][1][s:e] for s, e in got[i]])
+    assert sc.parts("NAME=" + "ab1" * 8 + "==") == [(5, 31)] and sc.parts("ab1" * 8 + "=x") == [(0, 24)]
+
+
 def test_background_takes_all_letters():
     t = "x1y " * 320
     got = sc.background([t, "", "\u0434" * 100]).reshape(6, 3, -1).sum(axis=2).tolist()
