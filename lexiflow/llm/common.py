@@ -21,6 +21,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+
+
+def finite_vector(vec: Column) -> Column:
+    """True for a vector that is not NULL and holds neither NULL nor non-finite entries."""
+    return F.coalesce(F.forall(vec, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False))), F.lit(False))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder below the shared ``spark.checkpoint.dir``."""
     return f"{ensure_checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"

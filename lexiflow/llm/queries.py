@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_model, quality_rules, secrets, token_counts, token_files
-from lexiflow.llm.common import documents, held_out
+from lexiflow.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_model, quality_rules, secrets, token_counts, token_files, whitening
+from lexiflow.llm.common import documents, embeddings, held_out
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,8 @@ def op9_token_files(spark, sf_dir) -> DataFrame:
 @_query()
 def op10_near_dedup(spark, sf_dir) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("tkey")
+
+
+@_query()
+def op13_whiten_vectors(spark, sf_dir) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir))
