@@ -82,20 +82,21 @@ def hot_keys(rows: DataFrame, key: str, share: float = 0.005) -> list:
             .where((F.col("__n") > max(8.0, n * share)) & F.col(key).isNotNull()).select(key).collect()]
 
 
-def skew_join(rows: DataFrame, table: DataFrame, key: str, salt: Sequence[str], how: str = "left",
+def skew_join(rows: DataFrame, table: DataFrame, key: str | Sequence[str], salt: Sequence[str], how: str = "left",
               hot: list | None = None, salts: int = 64) -> DataFrame:
-    """Join ``rows`` (any number per key) with ``table`` (one row per key).
+    """Join ``rows`` (any number per key) with ``table`` (one row per key); of several key columns the first tells hot keys.
 
     The rows of a hot key are dealt over ``salts`` partitions by the columns
     ``salt`` and only the few table rows of hot keys are repeated ``salts``
     times; all other keys join as usual.  Pass ``hot`` to reuse a list."""
-    hot = hot_keys(rows, key) if hot is None else hot
+    on = [key] if isinstance(key, str) else list(key)
+    hot = hot_keys(rows, on[0]) if hot is None else hot
     if not hot:
-        return rows.join(table, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+        return rows.join(table, on, how)
+    is_hot = F.coalesce(F.col(on[0]).isin(hot), F.lit(False))
     left = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*salt), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
     right = table.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
 # -- constant-size filters over 64-bit keys ----------------------------------

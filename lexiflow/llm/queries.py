@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_model, quality_rules, secrets, token_counts, token_files, whitening
+from lexiflow.llm import exact_dedup, hard_negatives, language_id, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, secrets, token_counts, token_files, whitening
 from lexiflow.llm.common import documents, embeddings, held_out
 
 QUERIES: dict[str, Callable] = {}
@@ -108,6 +108,38 @@ def op10_near_dedup(spark, sf_dir) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("tkey")
 
 
+@_query(rf"""
+with l as (select doc_id, unnest(range(len(ls))) as i, unnest(ls) as line from (
+             select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)),
+k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{line_dedup._UPPER}', '{line_dedup._LOWER}') as key from l),
+c as (select key, min(doc_id) as first from k where length(key) >= {line_dedup.MIN_CHARS} group by key having count(distinct doc_id) > 1),
+d as (select k.*, c.first is not null and c.first <> k.doc_id as dropped from k left join c using (key))
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not dropped), '')) as kept_sha256
+from d group by doc_id""")
+def op11_line_dedup(spark, sf_dir) -> DataFrame:
+    found = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query("""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             list_transform(embedding, lambda c: floor(256 * c::double)) as x
+           from embeddings where label is not null and embedding is not null
+             and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.x, b.x)::bigint as score
+      from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as r from s where same) where r <= 5),
+n as (select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+        row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id)::int as rank
+      from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5""")
+def op12_hard_negatives(spark, sf_dir) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = embeddings(spark, sf_dir).withColumn("label", shifted)
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 @_query()
 def op13_whiten_vectors(spark, sf_dir) -> DataFrame:
     return whitening.whiten(embeddings(spark, sf_dir))
