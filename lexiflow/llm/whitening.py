@@ -9,11 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import DenseMatrix
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,15 +62,30 @@ def integer_rows(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 def _scaled_off(n: int, sums: list[int]) -> Column:
     """n * x - S per entry: exact."""
-    return F.expr(f"transform(x, (v, i) -> {n}L * v - array({', '.join(f'{s}L' for s in sums)})[i])")
+    return F.expr(f"zip_with(x, array({', '.join(f'{s}L' for s in sums)}), (v, s) -> {n}L * v - s)")
 
 
 def block_matrix(rows: DataFrame, n: int, sums: list[int], total: int) -> BlockMatrix:
-    """The rows (x, index) less the mean of the fit list, as blocks of all columns."""
-    off = F.transform(_scaled_off(n, sums), lambda v: v.cast("double") / float(n))
-    ready = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector(off).alias("vector")), "vector")
-    height = int(min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], total // 50_000)))
-    return IndexedRowMatrix(ready, total, len(sums)).toBlockMatrix(height, len(sums))
+    """The rows (x, index) less the mean of the fit list, as blocks of all columns.
+
+    A block is one group of neighbouring indexes; indexes that ``rows`` lacks are lines of zeros.  The blocks are kept
+    in executor memory or on disk and are made again from ``rows`` where they get lost; ``release`` lets them go."""
+    height, s = int(min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], total // 50_000))), np.array(sums, dtype=np.int64)
+
+    def pack(b: pd.DataFrame) -> pd.DataFrame:
+        block = int(b["block"].iloc[0])
+        lines = np.zeros((min(height, total - block * height), len(s)))
+        lines[b["index"].to_numpy(np.int64) - block * height] = (n * np.stack(b["x"].to_numpy()) - s) / n  # the difference is exact
+        return pd.DataFrame({"block": [block], "lines": [len(lines)], "entries": [lines.tobytes(order="F")]})
+
+    blocks = rows.select(F.floor(F.col("index") / height).cast("long").alias("block"), "index", "x").groupBy("block")
+    blocks = blocks.applyInPandas(pack, "block long, lines int, entries binary")
+    matrices = blocks.rdd.map(lambda r: ((r["block"], 0), DenseMatrix(r["lines"], len(sums), np.frombuffer(r["entries"]))))
+    return BlockMatrix(matrices, height, len(sums), total, len(sums)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(a: BlockMatrix) -> None:
+    a._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def gram(a: BlockMatrix, splits: int) -> np.ndarray:
@@ -80,7 +96,7 @@ def gram(a: BlockMatrix, splits: int) -> np.ndarray:
 
 
 def _small(spark, m: np.ndarray) -> BlockMatrix:
-    block = Matrices.dense(m.shape[0], m.shape[1], m.flatten(order="F").tolist())
+    block = DenseMatrix(m.shape[0], m.shape[1], m.flatten(order="F"))
     return BlockMatrix(spark.sparkContext.parallelize([((0, 0), block)], 1), m.shape[0], m.shape[1], m.shape[0], m.shape[1])
 
 
@@ -100,10 +116,12 @@ def fit_whitening(rows: DataFrame, components: int = 16) -> Whitening | None:
     values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
     k = min(components, int((values > values[0] * RANK_SHARE).sum()))
     if not k:
+        release(blocks)
         return None
     matrix = np.ascontiguousarray(vectors[:, :k] / np.sqrt(values[:k]))
     white = blocks.multiply(_small(spark, matrix))
     error = float(np.abs(gram(white, splits) / n - np.eye(k)).max())
+    release(blocks)
     return Whitening(n, sums, values, matrix, error)
 
 
