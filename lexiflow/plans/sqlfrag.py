@@ -76,6 +76,81 @@ def edit_distance(h: str, r: str) -> str:
       {{'p2': []::bigint[], 'o2': 0::bigint, 'p1': []::bigint[], 'o1': 0::bigint, 'k': {k}}}).p1[-1])"""
 
 
+def alignment(h: str, r: str, bound: str, ops: bool = False) -> str:
+    """Struct (d, s, x, n[, e]) of two lists (column names): distance, replaced, left-out and added items[, the errors as
+    (op, i, j)], of the alignment that ``functions.align`` fixes.  The fold of ``edit_distance`` over cells that carry what
+    the way to them holds; ``bound`` is any upper bound of the distance."""
+    n, m = f"len({h})", f"len({r})"
+    lo = f"greatest(0, d - {m}, (d - acc.k + 1) // 2)::bigint"
+    e = ("e", "list<struct>") if ops else None
+    kind = "struct(d bigint, s bigint, x bigint, n bigint" + (", e struct(op varchar, i bigint, j bigint)[]" if ops else "") + ")[]"
+    diag, left, up = "acc.p2[i - 1 - acc.o2 + 1]", "acc.p1[i - acc.o1 + 1]", "acc.p1[i - 1 - acc.o1 + 1]"
+
+    def cell(of, s, x, n_, op, i, j):
+        err = f", 'e': {of}.e || [{{'op': '{op}', 'i': ({i})::bigint, 'j': ({j})::bigint}}]" if e else ""
+        return f"{{'d': {of}.d + 1, 's': {of}.s + {s}, 'x': {of}.x + {x}, 'n': {of}.n + {n_}{err}}}"
+
+    def edge(x, n_, op):
+        err = (f", 'e': list_transform(range(0, d), lambda q: {{'op': '{op}', 'i': {'0::bigint' if op == 'D' else 'q::bigint'}, "
+               f"'j': {'q::bigint' if op == 'D' else '0::bigint'}}})") if e else ""
+        return f"{{'d': d::bigint, 's': 0::bigint, 'x': {x}::bigint, 'n': {n_}::bigint{err}}}"
+
+    far = "1000000000"
+    return f"""(list_reduce(range(0, {n} + {m} + 1),
+      lambda acc, d: {{'p2': acc.p1, 'o2': acc.o1, 'p1': list_transform(range({lo}, least({n}, d, (d + acc.k) // 2) + 1), lambda i:
+          case when i = 0 then {edge('d', '0', 'D')}
+               when d - i = 0 then {edge('0', 'd', 'I')}
+               when {h}[i] = {r}[d - i] then {diag}
+               when coalesce({diag}.d, {far}) <= least(coalesce({left}.d, {far}), coalesce({up}.d, {far})) then {cell(diag, 1, 0, 0, 'S', 'i - 1', 'd - i - 1')}
+               when coalesce({left}.d, {far}) <= coalesce({up}.d, {far}) then {cell(left, 0, 1, 0, 'D', 'i', 'd - i - 1')}
+               else {cell(up, 0, 0, 1, 'I', 'i - 1', 'd - i')} end), 'o1': {lo}, 'k': acc.k}},
+      {{'p2': []::{kind}, 'o2': 0::bigint, 'p1': []::{kind}, 'o1': 0::bigint, 'k': ({bound})::bigint}}).p1[-1])"""
+
+
+def mismatches(h: str, r: str) -> str:
+    """Places in which two lists differ, the longer one's rest included: an upper bound of their distance."""
+    return f"(len(list_filter(range(1, least(len({h}), len({r})) + 1), lambda q: {h}[q] <> {r}[q])) + abs(len({h}) - len({r})))::bigint"
+
+
+def turns_cte(seed: int = fx.SEED) -> str:
+    """turns(conv_id, turn, h, r, k): the word lists of ``fixtures.noisy_turns`` and the number of changes made."""
+    u = uniform(str(seed), "'turn'", "conv_id", "turn", "i - 1")
+    at = f"floor({uniform(str(seed), "'turn_at'", 'conv_id', 'turn', 'i - 1')} * length(w))::int"
+    head, ch, tail = f"substr(w, 1, {at})", f"substr(w, {at} + 1, 1)", f"substr(w, {at} + 2)"
+    return f"""turns as (select conv_id, turn, r, len(list_filter(r, lambda w, i: {u} < {fx.TURN_ADD}::double)) as k, flatten(list_transform(r, lambda w, i:
+    case when {u} < {fx.TURN_DROP}::double then []::varchar[]
+         when {u} < {fx.TURN_DOUBLE}::double then [{head} || {ch} || {ch} || {tail}]
+         when {u} < {fx.TURN_SWAP}::double then [{head} || 'e' || {tail}]
+         when {u} < {fx.TURN_ADD}::double then [w, '{fx.TURN_FILLER}'] else [w] end)) as h
+  from (select conv_id, turn, {words('text')} as r from conversations))"""
+
+
+def aligned_pairs_ctes(rows: str) -> str:
+    """wp(given, got, n) from ``rows`` with word lists h and r: aligned words, kept or replaced.
+
+    Where two lists of one length differ in as many places as their distance, the fixed alignment is the one place by
+    place (from the end on, the replacement or the equal pair is always a best way)."""
+    return f"""al as (select *, {edit_distance('h', 'r')} as errors, {mismatches('h', 'r')} as mm from {rows}),
+plainly as (select unnest(list_zip(r, h)) as z from al where len(h) = len(r) and errors = mm),
+other as (select h, r, {alignment('h', 'r', 'mm', ops=True)}.e as e from al where not (len(h) = len(r) and errors = mm) and len(h) > 0 and len(r) > 0),
+shifted as (select r[x.j + 1] as given, h[x.i + 1] as got from (select h, r, unnest(list_filter(e, lambda q: q.op = 'S')) as x from other)
+  union all select w, w from (select unnest(list_filter(r, lambda w, i: not list_contains(list_transform(list_filter(e, lambda q: q.op <> 'I'), lambda q: q.j), i - 1))) as w from other)),
+wp as (select given, got, count(*)::bigint as n from (select z[1] as given, z[2] as got from plainly union all select * from shifted) group by all)"""
+
+
+def channel_ctes() -> str:
+    """chan(given, got, n, total) from wp: counts of character steps."""
+    chars = lambda w: f"regexp_extract_all({w}, '(?s).')"
+    return f"""wc as (select given, got, n, {chars('given')} as r, {chars('got')} as h from wp),
+we as (select given, got, n, h, r, {alignment('h', 'r', 'greatest(len(h), len(r))', ops=True)}.e as e from wc where given <> got),
+st as (select c as given, c as got, n from (select unnest(r) as c, n from wc where given = got)
+  union all select case when x.op = 'I' then '' else r[x.j + 1] end, case when x.op = 'D' then '' else h[x.i + 1] end, n from (select h, r, n, unnest(e) as x from we)
+  union all select c, c, n from (select n, unnest(list_filter(r, lambda w, i: not list_contains(list_transform(list_filter(e, lambda q: q.op <> 'I'), lambda q: q.j), i - 1))) as c from we)
+  union all select '', '', n * (len(r) + 1) from wc
+  union all select '', '', -n from (select n, unnest(e) as x from we) where x.op = 'I'),
+chan as (select given, got, n, sum(n) over (partition by given)::bigint as total from (select given, got, sum(n)::bigint as n from st group by all having sum(n) <> 0))"""
+
+
 def word_ids(t: str) -> str:
     return (f"list_transform({words(t)}, lambda w: ({fx.ID_OFFSET} + "
             f"(('0x' || substr(md5(w), 1, 8))::bigint % {fx.ID_RANGE}))::int)")

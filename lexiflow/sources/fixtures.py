@@ -27,6 +27,8 @@ FAIL_BLANK_RATE = 0.02  # hypothesis blank ('  ')
 BEAM_SUB_RATE = 0.06    # second system: words replaced by 'zzz'
 BEAM_OMIT_RATE = 0.15   # second system: rows missing, so the join drops them
 BEAM_DUP_RATE = 0.05    # second system: rows present twice, so the join multiplies them
+TURN_DROP, TURN_DOUBLE, TURN_SWAP, TURN_ADD = 0.05, 0.10, 0.15, 0.18  # upper ends of the draws that change a word of a turn
+TURN_FILLER = "uh"
 ID_OFFSET = 7           # ids start after the 7 special tokens
 ID_RANGE = 1000
 # ------------------------------------------------------------------------------
@@ -57,14 +59,14 @@ def fingerprint(spark: SparkSession, sf_dir: str, tables=("documents",)) -> str:
     return hashlib.sha1(f"{seen}|{src}".encode()).hexdigest()[:16]
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def _stored(spark: SparkSession, sf_dir: str, name: str, build, tables=("documents",)) -> DataFrame:
     """A derived input, written once per checkpoint folder and then read like the table it
     stands in for.  Its path carries the fingerprint of what it derives from, so
     changed files or functions are derived anew."""
     from lexiflow.session import ensure_checkpoint_dir
     from lexiflow.sources.io import materialize
 
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-inputs/{fingerprint(spark, sf_dir)}/{name}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-inputs/{fingerprint(spark, sf_dir, tables)}/{name}"
     return materialize(build(), path)
 
 
@@ -105,6 +107,26 @@ def pseudo(spark: SparkSession, sf_dir: str, seed: int = SEED, stored: bool = Tr
     return base.unionByName(dups).drop("doc_id")
 
 
+def noisy_turns(spark: SparkSession, sf_dir: str, seed: int = SEED, stored: bool = True) -> DataFrame:
+    """noisy_turns(conv_id, turn, hyp, ref): ref = words of a conversation turn, hyp = the same with words left out,
+    a character doubled or replaced by 'e', and a filler added."""
+    if stored:
+        return _stored(spark, sf_dir, f"turns-{seed}", lambda: noisy_turns(spark, sf_dir, seed, stored=False), ("conversations",))
+    key = [F.col("conv_id"), F.col("turn")]
+
+    def heard(w, i):
+        at = F.floor(rng.uniform(seed, "turn_at", *key, i) * F.char_length(w)).cast("int")
+        u = rng.uniform(seed, "turn", *key, i)
+        head, ch, tail = F.substring(w, 1, at), F.substring(w, at + 1, 1), F.substring(w, at + 2, 2147483647)
+        return (F.when(u < F.lit(TURN_DROP), F.array().cast("array<string>"))
+                .when(u < F.lit(TURN_DOUBLE), F.array(F.concat(head, ch, ch, tail)))
+                .when(u < F.lit(TURN_SWAP), F.array(F.concat(head, F.lit("e"), tail)))
+                .when(u < F.lit(TURN_ADD), F.array(w, F.lit(TURN_FILLER))).otherwise(F.array(w)))
+
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.array_join(F.flatten(F.transform(words("text"), heard)), " ").alias("hyp"), F.col("text").alias("ref"))
+
+
 def word_ids(c):
     """Deterministic id per word: 7 + (first 32 bits of md5(word)) mod 1000."""
     return F.transform(words(c), lambda w: (F.lit(ID_OFFSET) + F.pmod(
