@@ -152,15 +152,20 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def row_key(*cols: str | Column) -> Column:
+    """Deals and filters rows; two rows may share it, so identity is always compared on the columns themselves."""
+    return F.xxhash64(*cols)
+
+
 def drop_rejected(docs: DataFrame, judged: DataFrame, by: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judged`` (id_col, tkey, the columns ``by``, kept; one verdict for rows equal in all but the last) keeps.
 
     Repeated rows stay repeated.  Only rows that the constant-size filter cannot clear are shuffled with their texts."""
     keys = [id_col, "tkey", *by]
     bad = judged.where(~F.col("kept")).select(*[F.col(f"`{c}`").alias(f"__m{i}") for i, c in enumerate(keys)]).distinct()
-    bad = stored(bad.withColumn("__rk", F.xxhash64(*[f"__m{i}" for i in range(len(keys))])), "rejected")
+    bad = stored(bad.withColumn("__rk", row_key(*[f"__m{i}" for i in range(len(keys))])), "rejected")
     own = [F.col(f"`{id_col}`"), text_key(text_col), *[F.col(f"`{c}`") for c in by]]
-    rows = test_filter(docs.withColumn("__rid", F.xxhash64(*own)), F.col("__rid"), key_filter(bad, "__rk"), "__maybe")
+    rows = test_filter(docs.withColumn("__rid", row_key(*own)), F.col("__rid"), key_filter(bad, "__rk"), "__maybe")
     same = F.col("__rid") == F.col("__rk")
     for i, c in enumerate(own):
         same = same & c.eqNullSafe(F.col(f"__m{i}"))
@@ -179,14 +184,15 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     marks = (decided.groupBy(F.col(id_col).alias("__id"), F.col("tkey").alias("__tkey"))
              .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
              .where(~F.col("__kept") | (F.col("__n") > 1)))
-    marks = stored(marks.withColumn("__rk", F.xxhash64("__id", "__tkey")), "marks")
-    rows = test_filter(docs.withColumn("__rid", F.xxhash64(F.col(id_col), text_key(text_col))), F.col("__rid"),
-                       key_filter(marks, "__rk"), "__maybe")
-    clear = rows.where(~F.col("__maybe")).select(*[F.col(f"`{c}`") for c in docs.columns])
-    met = rows.where("__maybe").join(marks.drop("__id", "__tkey"), F.col("__rid") == F.col("__rk"), "left")
-    unmarked = met.where(F.col("__rk").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marks = stored(marks.withColumn("__rk", row_key("__id", "__tkey")), "marks")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("__own", F.col(f"`{id_col}`")).withColumn("__text", text_key(f"`{text_col}`"))
+    rows = test_filter(rows.withColumn("__rid", row_key("__own", "__text")), F.col("__rid"), key_filter(marks, "__rk"), "__maybe")
+    same = (F.col("__rid") == F.col("__rk")) & F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__tkey"))
+    met = rows.where("__maybe").join(marks, same, "left")
+    unmarked = met.where(F.col("__rk").isNull()).select(*cols)
     # Rows equal in id and text (repeated rows): a window over just those.
     again = (met.where(F.col("__kept"))
-             .withColumn("__first", F.row_number().over(Window.partitionBy("__rid").orderBy("__rid")))
-             .where("__first = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
-    return clear.unionByName(unmarked).unionByName(again)
+             .withColumn("__first", F.row_number().over(Window.partitionBy("__own", "__text").orderBy("__rid")))
+             .where("__first = 1").select(*cols))
+    return rows.where("not __maybe").select(*cols).unionByName(unmarked).unionByName(again)

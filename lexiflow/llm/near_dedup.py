@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import bit_table, hot_keys, in_table, key_filter, skew_join, stored, test_filter, text_batches
+from lexiflow.llm.common import bit_table, hot_keys, in_table, key_filter, row_key, skew_join, stored, test_filter, text_batches
 
 #: Odd multipliers of the shingle hash (any odd 64-bit numbers do).
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -77,18 +77,20 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, width: int) -
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(node, shingles) of the given class representatives (node, id_col, tkey): the second and last scan of texts."""
-    wanted = nodes.select("node", F.xxhash64(id_col, "tkey").alias("rk"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = rows.withColumn("rk", F.xxhash64("__id", F.xxhash64("__text")))
-    rows = test_filter(rows, F.col("rk"), key_filter(wanted, "rk"), "maybe").where("maybe").select("rk", "__text")
+    wanted = nodes.select("node", F.col(id_col).alias("own"), F.col("tkey").alias("own_key")).withColumn("rk", row_key("own", "own_key"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__tkey", F.xxhash64("__text"))
+    # The id goes through pandas as a string, which keeps every value and NULL.
+    rows = rows.withColumn("__rk", row_key("__id", "__tkey")).withColumn("__id", F.col("__id").cast("string"))
+    rows = test_filter(rows, F.col("__rk"), key_filter(wanted, "rk"), "maybe").where("maybe").select("__rk", "__id", "__tkey", "__text")
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"rk": b["rk"], "shingles": [shingle_hashes(t, width) for t in b["__text"]]})
+            yield pd.DataFrame({"__rk": b["__rk"], "__id": b["__id"], "__tkey": b["__tkey"], "shingles": [shingle_hashes(t, width) for t in b["__text"]]})
 
-    sets = rows.mapInPandas(run, "rk long, shingles array<long>").join(wanted, "rk")
-    # Repeated rows; the join has dealt the rows by rk already.
-    return sets.dropDuplicates(["rk", "node"]).drop("rk")
+    same = (F.col("__rk") == F.col("rk")) & F.col("__id").eqNullSafe(F.col("own").cast("string")) & (F.col("__tkey") == F.col("own_key"))
+    sets = rows.mapInPandas(run, "__rk long, __id string, __tkey long, shingles array<long>").join(wanted, same)
+    # Repeated rows; the join has dealt the rows by the key already.
+    return sets.dropDuplicates(["rk", "node"]).select("node", "shingles")
 
 
 def _index(reps: DataFrame, k: int, similarity: float, t: int) -> DataFrame:

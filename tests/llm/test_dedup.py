@@ -124,6 +124,22 @@ def test_skew_join_equals_join(spark):
     assert sorted(map(tuple, a.select("id", "k", "v").collect())) == sorted(map(tuple, b.select("id", "k", "v").collect()))
 
 
+def test_rows_that_share_a_hash_are_told_apart(spark, odd, monkeypatch):
+    """Every row key equal: both dedup stages of the pipeline still keep the right rows."""
+    from pyspark.sql import functions as F
+
+    from lexiflow.llm import common, near_dedup
+
+    want_exact = table(keep_rows(odd, dedup_exact(odd)), "doc_id", "text", "source")
+    want_sets = table(near_duplicates(odd), "doc_id", "n_shingles", "component_id", "kept")
+    want_near = table(keep_rows(odd, near_duplicates(odd)), "doc_id", "text")
+    for module in (common, near_dedup):
+        monkeypatch.setattr(module, "row_key", lambda *c: F.lit(5).cast("long"))
+    assert table(keep_rows(odd, dedup_exact(odd)), "doc_id", "text", "source") == want_exact
+    assert table(near_duplicates(odd), "doc_id", "n_shingles", "component_id", "kept") == want_sets
+    assert table(keep_rows(odd, near_duplicates(odd)), "doc_id", "text") == want_near
+
+
 def test_keep_rows_drops_and_keeps_columns(spark, odd):
     got = keep_rows(odd, dedup_exact(odd))
     assert got.columns == odd.columns
