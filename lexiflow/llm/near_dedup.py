@@ -178,14 +178,16 @@ def _compare_blocks(named: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     Lists are taken together by their largest component.  Its documents and the ones outside
     are each dealt into blocks of bounded size, every block of the outside ones meets
-    every block of all, and a task compares two blocks by numpy and returns links only."""
+    every block of all, and a task compares two blocks by numpy and returns links only.
+    The blocks meet by component and block, so those of one dense group are spread over the tasks."""
     sizes = named.groupBy("main", "node", "label").agg(F.min("n").alias("n"))
     total = sizes.groupBy("main").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("label") != F.col("main"), F.col("n"))).alias("out"))
     dealt = sizes.join(total, "main").join(sets, "node")
     block = lambda c: F.pmod(F.xxhash64("node"), F.ceil(F.col(c) / BLOCK)).alias("block")
     rows = F.collect_list(F.struct("node", "label", "shingles"))
-    left = dealt.where("label <> main").groupBy("main", block("out")).agg(rows.alias("xs")).drop("block")
-    right = dealt.groupBy("main", block("all")).agg(rows.alias("ys")).drop("block")
+    left = dealt.where("label <> main").groupBy("main", block("out")).agg(rows.alias("xs"), F.first(F.ceil(F.col("all") / BLOCK)).alias("blocks"))
+    left = left.select("main", "xs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    right = dealt.groupBy("main", block("all")).agg(rows.alias("ys"))
 
     def run(batches):
         for b in batches:
@@ -203,7 +205,7 @@ def _compare_blocks(named: DataFrame, sets: DataFrame, percent: int) -> DataFram
                         other = node[hit]
                         yield pd.DataFrame({"x": np.minimum(other, x["node"]), "y": np.maximum(other, x["node"])})
 
-    return left.join(right, "main").select("xs", "ys").mapInPandas(run, "x long, y long").distinct()
+    return left.join(right, ["main", "block"]).select("xs", "ys").mapInPandas(run, "x long, y long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
