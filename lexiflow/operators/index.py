@@ -107,19 +107,21 @@ def positional_split(df: DataFrame, order: Sequence[str], bounds=(12000, 15000),
     """Rows [0, b1) -> names[0], [b1, b2) -> names[1], the rest -> names[2], in
     the given order.  Bounds below 1 are fractions of the row count (the count
     comes from the index pass, no extra scan)."""
-    fractional = all(isinstance(b, float) and b < 1 for b in bounds)
     idx = with_row_index(df, order, "_idx", with_total=True)
-    if fractional:
-        bcols = [F.floor(F.lit(float(b)) * F.col("_total")) for b in bounds]
-    else:
-        bcols = [F.lit(int(b)) for b in bounds]
-    label = F.when(F.col("_idx") < bcols[0], F.lit(names[0]))
-    for b, name in zip(bcols[1:], names[1:-1]):
-        label = label.when(F.col("_idx") < b, F.lit(name))
-    label = label.otherwise(F.lit(names[-1]))
+    label = split_label(F.col("_idx"), F.col("_total"), bounds, names)
     return idx.withColumn(out, label).drop("_total").withColumnRenamed("_idx", "idx")
 
 
+def split_label(idx: Column, total: Column, bounds, names) -> Column:
+    """names[0] for numbers below bounds[0], and so on; bounds that are all fractions apply to ``total``."""
+    fractional = all(isinstance(b, float) and b < 1 for b in bounds)
+    bcols = [F.floor(F.lit(float(b)) * total) if fractional else F.lit(int(b)) for b in bounds]
+    label = F.when(idx < bcols[0], F.lit(names[0]))
+    for b, name in zip(bcols[1:], names[1:-1]):
+        label = label.when(idx < b, F.lit(name))
+    return label.otherwise(F.lit(names[-1]))
+
+
 def offset_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """Rows after the first ``n`` in the given order (a distributed OFFSET)."""
     return with_row_index(df, order, "_idx").where(F.col("_idx") >= F.lit(n)).drop("_idx")

@@ -127,6 +127,19 @@ def noisy_turns(spark: SparkSession, sf_dir: str, seed: int = SEED, stored: bool
         "conv_id", "turn", F.array_join(F.flatten(F.transform(words("text"), heard)), " ").alias("hyp"), F.col("text").alias("ref"))
 
 
+def many_files(spark: SparkSession, sf_dir: str, fmt: str = "parquet") -> str:
+    """Folder of up to 256 files (lang, source) dealt by the digest of doc_id, rows by doc_id; none of the columns is a key."""
+    from lexiflow.session import ensure_checkpoint_dir
+    from lexiflow.sources.io import exists
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-inputs/{fingerprint(spark, sf_dir)}/many-files-{fmt}"
+    if not exists(spark, path):
+        rows = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2).alias("bucket"))
+        rows = rows.repartition(16, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id")
+        rows.write.mode("overwrite").option("header", "true").partitionBy("bucket").format(fmt).save(path)
+    return path
+
+
 def word_ids(c):
     """Deterministic id per word: 7 + (first 32 bits of md5(word)) mod 1000."""
     return F.transform(words(c), lambda w: (F.lit(ID_OFFSET) + F.pmod(

@@ -12,7 +12,8 @@ FAST = ["wer_rows", "wer_report", "join_systems", "build_path", "noise_mixture",
         "argmax_vec", "ctc_collapse", "cross_entropy", "position_features", "pretokenize", "word_counts",
         "bpe_pair_counts", "distinct_word_positions", "noise_substitute", "noise_insert", "delete_index", "greedy_decode", "exists_flag", "row_index",
         "positional_split", "offset_rows", "safe_map_ok", "batch_assign", "pad_batches", "epoch_metrics",
-        "early_stop", "correct_words", "drop_inserted", "evaluate_systems"]
+        "early_stop", "correct_words", "drop_inserted", "evaluate_systems", "wer_alignment", "turn_alignment", "word_confusions", "channel_counts",
+        "file_order_split", "file_order_csv", "epoch_batches", "join_skewed"]
 
 
 @pytest.fixture(scope="module")
