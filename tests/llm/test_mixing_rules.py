@@ -1,30 +1,16 @@
 import re
+import time
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexiflow.llm import quality_rules as q
-from lexiflow.llm.mixing import in_mixed_order, integer_shares, mix_sources, phases
+from lexiflow.llm.mixing import deal, in_mixed_order, mix_sources
 from tests.llm.conftest import SF, frame, rows_of, text
 
 
-def test_shares_sum_and_are_positive():
-    assert integer_shares({"a": 0.5, "b": 0.3, "c": 0.2}, 10) == {"a": 5, "b": 3, "c": 2}
-    shares = integer_shares({None: 1e-9, **{f"s{i}": i + 1.0 for i in range(30)}}, 64)
-    assert sum(shares.values()) == 64 and min(shares.values()) == 1
-
-
-def test_phases_place_every_block():
-    blocks, weights = {"a": 1000, "b": 30, None: 7, "z": 0}, {"a": 3.0, "b": 1.0, None: 2.0, "z": 1.0}
-    placed = dict.fromkeys(blocks, 0)
-    for ph in phases(blocks, weights, 16):
-        for s, (first, c) in ph["share"].items():
-            assert first == placed[s]
-            placed[s] += c * ph["times"]
-    assert placed == blocks
-
-
 def test_windows_and_deviation(spark):
     """Every block runs inside its window, each slot holds one block, and no source is a block off its share."""
     docs = spark.range(4000).selectExpr("id as doc_id", "repeat('x', 99) as text", "case when id % 3 = 0 then 'hot' when id % 7 = 1 then null else concat('s', id % 5) end as source")
@@ -49,9 +35,71 @@ def test_mix_is_whole_and_repeatable(spark, odd):
     assert order.columns == odd.columns and sorted(map(str, order.collect())) == sorted(map(str, odd.collect()))
 
 
-def test_too_many_sources_raise(spark):
-    with pytest.raises(ValueError):
-        mix_sources(spark.range(10).selectExpr("id as doc_id", "'t' as text", "cast(id as string) as source"), max_sources=3)
+def plain_schedule(blocks, weights):
+    """Slot by slot from the definition: flows as fractions, windows searched, earliest deadline of the released."""
+    names = sorted(blocks, key=lambda s: (s is not None, s))
+    w = {s: Fraction(weights[s]) for s in names}
+    total = sum(blocks.values())
+    flows, flow = [dict.fromkeys(names, Fraction(0))], dict.fromkeys(names, Fraction(0))
+    for _ in range(total):
+        step = Fraction(1)
+        while step:
+            live = [s for s in names if flow[s] < blocks[s]]
+            if not live:
+                break
+            all_w = sum(w[s] for s in live)
+            part = min([step, *[(blocks[s] - flow[s]) * all_w / w[s] for s in live]])
+            for s in live:
+                flow[s] += part * w[s] / all_w
+            step -= part
+        flows.append(dict(flow))
+    # Block k: released in the last slot boundary at which k blocks had not flowed past, due once k + 1 have.
+    window = {s: [(max(t for t in range(total + 1) if flows[t][s] <= k), min(t for t in range(total + 1) if flows[t][s] >= k + 1)) for k in range(blocks[s])] for s in names}
+    done, out = dict.fromkeys(names, 0), []
+    for slot in range(total):
+        ready = [(window[s][done[s]][1], i, s) for i, s in enumerate(names) if done[s] < blocks[s] and window[s][done[s]][0] <= slot]
+        due, _, s = min(ready)
+        out.append((s, done[s], slot, window[s][done[s]][0], due))
+        done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("case", [({"a": 7, "b": 3, None: 2}, {"a": 0.5, "b": 0.3, None: 0.2}), ({"x": 1}, {"x": 3.0}),
+                                  ({f"s{i}": 1 + i * 5 % 9 for i in range(12)}, {f"s{i}": 0.1 + i * 7 % 5 for i in range(12)}),
+                                  ({"big": 40, **{f"t{i}": 1 for i in range(15)}}, {"big": 1.0, **{f"t{i}": 1 / 3 for i in range(15)}})])
+def test_dealt_slots_equal_a_plain_schedule(case):
+    assert [t[:5] for t in deal(*case)] == plain_schedule(*case)
+
+
+def test_blocks_are_bounded(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', 9) as text", "concat('s', id % 4) as source")
+    got = mix_sources(docs, {"s0": 3.0, "s1": 1.0, "s2": 1.0, "s3": 1.0}, block_chars=1, max_blocks=100)
+    assert got.count() == 3000 and got.agg(F.max("slot")).first()[0] < 104
+    assert got.groupBy("source", "block").count().agg(F.max("count")).first()[0] <= 31  # 300 characters
+
+
+def test_many_small_sources_share_lanes(spark):
+    """Far more sources than are dealt on their own: all rows placed, large sources in their windows, small ones spread like the rest."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', 9) as text", """case when id % 2 = 0 then 'large' when id % 10 = 1 then null
+        else concat('host', cast(id as string)) end as source""")
+    got = mix_sources(docs, block_chars=200, max_sources=50).cache()
+    assert got.count() == 20_000 and got.select("doc_id").distinct().count() == 20_000
+    assert (got.where("slot < release or slot >= deadline").count(), got.where("source like 'host%' or source is null").count()) == (0, 10_000)
+    slots = got.groupBy("slot").agg(F.count_distinct(F.when(~F.col("source").startswith("host"), F.col("source"))).alias("own"), F.count(F.lit(1)).alias("n"))
+    assert slots.where("own > 1").count() == 0 and slots.count() == got.agg(F.max("slot")).first()[0] + 1
+    large = got.where("source = 'large'").select("block", "slot").distinct().orderBy("slot").toPandas()
+    assert (large["block"] == range(500)).all()
+
+
+def test_ten_thousand_sources_and_ten_million_blocks():
+    """The driver's share of a table of ten million blocks of 64k characters: it deals max_blocks larger ones."""
+    chars = {f"s{i:05d}": 65_536 * (210 + i * 17 % 1600) for i in range(10_000)}
+    block = -(-sum(chars.values()) // (1 << 18))
+    assert sum(chars.values()) // 65_536 >= 10_000_000
+    began, slots = time.time(), 0
+    for slots, (_, _, slot, release, due, _) in enumerate(deal({s: -(-c // block) for s, c in chars.items()}, {s: c ** 0.5 for s, c in chars.items()}), 1):
+        assert release <= slot < due
+    assert slots <= (1 << 18) + 10_000 and time.time() - began < 60
 
 
 def counts(t):
@@ -99,13 +147,6 @@ def test_empty_tables(none):
     assert mix_sources(none).count() == 0 and q.quality_rules(none).count() == 0
 
 
-def test_shares_follow_the_weights():
-    """The least of one slot is taken from nobody who has more than it by weight."""
-    for n in (20, 99):
-        shares = integer_shares({"big": 0.5, **{f"s{i:03d}": 0.5 / n for i in range(n)}}, 256)
-        assert sum(shares.values()) == 256 and abs(shares["big"] - 128) <= 1
-
-
 @pytest.mark.parametrize("n", [20, 130, 600])
 def test_deviation_from_the_given_weights(spark, n):
     """After every slot each source is less than a block from the weights of the sources that are left, with any number of sources."""
