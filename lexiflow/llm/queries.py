@@ -78,16 +78,22 @@ b as (select *, n_words < {quality_rules.MIN_WORDS} or 100 * n_repeat_words > {q
 f as (select *, base_failed or 100 * n_symbols > {quality_rules.MAX_SYMBOL_PERCENT} * n_words
         or 100 * n_dup_lines > {quality_rules.MAX_DUP_LINE_PERCENT} * n_lines as rule_failed from b),
 hosts as (select source, count(*) as n, sum(rule_failed::int)::double as f from f where source is not null group by 1),
-prior as (select avg(f / n) as m, var_pop(f / n) as v from hosts),
-s as (select m, greatest({quality_rules.PRIOR_BOUNDS[0]}, least({quality_rules.PRIOR_BOUNDS[1]},
-        case when v > 0 then m * (1 - m) / v - 1 else {quality_rules.PRIOR_BOUNDS[1]} end)) as k from prior),
-shrunk as (select source, (f + m * k) / (n + k) as p from hosts, s)
+total as (select sum(n)::double as nn, sum(f) / sum(n) as m from hosts),
+spread as (select nn, m, count(*) as h, sum(n * (f / n - m) * (f / n - m)) as d, sum(n::double * n) as n2 from hosts, total group by all),
+prior as (select m, 1 / greatest({1 / (1 + quality_rules.PRIOR_BOUNDS[1])}, least({1 / (1 + quality_rules.PRIOR_BOUNDS[0])},
+  coalesce((d / nullif(m * (1 - m), 0) - (h - 1)) / nullif(nn - n2 / nn - (h - 1), 0), 0))) - 1 as k from spread),
+shrunk as (select *, (f + m * k) / (n + k) as p from hosts, prior),
+sure as (select source, m, p, p - {quality_rules.CERTAIN} * sqrt(p * (1 - p) / (n + k + 1)) as low from shrunk),
+verdicts as (select source, p, case when low > {quality_rules.REJECT} then 'reject'
+  when low > least({quality_rules.STRICT}, {quality_rules.STRICT_TIMES} * m) and low > 0 then 'strict' else 'pass' end as verdict from sure)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce(p, 0) < {quality_rules.REJECT} and not (coalesce(p, 0) >= {quality_rules.STRICT} and rule_failed) as kept
-from f left join shrunk using (source)""")
+  not base_failed and coalesce(verdict, 'pass') <> 'reject' and not (coalesce(verdict, 'pass') = 'strict' and rule_failed) as kept,
+  rule_failed, source as host, round(p, 9) as host_rate, coalesce(verdict, 'pass') as host_verdict
+from f left join verdicts using (source)""")
 def op7_host_rules(spark, sf_dir) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_failed", "host",
+        F.round("shrunk", 9).alias("host_rate"), F.col("verdict").alias("host_verdict"))
 
 
 @_query()

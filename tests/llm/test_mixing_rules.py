@@ -137,6 +137,47 @@ def test_host_verdicts_shrink_and_reach_documents(spark):
     assert rates["tiny"][1] < rates["tiny"][0] == 1.0
 
 
+def test_verdicts_equal_plain_python(spark):
+    """Hosts that differ, hosts that differ by chance only, and a host alone; small hosts need more failures to be sure of."""
+    import random
+
+    rnd = random.Random(3)
+    differ = {f"h{i}": [int(rnd.random() < (0.9 if i % 7 == 0 else 0.05)) for _ in range(5 + 40 * (i % 4))] for i in range(30)}
+    differ["small"] = [1]
+    alike = {f"h{i}": [int(rnd.random() < 0.15) for _ in range(50)] for i in range(20)}
+    for hosts in (differ, alike, {"one": [0, 1, 1]}, {"a": [0] * 9, "b": [0] * 4}, {"a": [1] * 200, "b": [1]}):
+        big, fail = sum(map(len, hosts.values())), sum(map(sum, hosts.values()))
+        m, per = fail / big, {h: (len(v), sum(v)) for h, v in hosts.items()}
+        part = big - sum(n * n for n, _ in per.values()) / big - (len(per) - 1)
+        share = (sum(n * (f / n - m) ** 2 for n, f in per.values()) / (m * (1 - m)) - (len(per) - 1)) / part if 0 < m < 1 and part else 0.0
+        k = 1 / max(1 / 1001, min(1 / 3, share)) - 1
+        rows = [(h, x) for h, v in hosts.items() for x in v] + [(None, 1)] * 5
+        got = {r["host"]: r for r in q.host_verdicts(spark.createDataFrame(rows, "host string, failed int")).collect()}
+        assert set(got) == set(hosts)
+        for h, (n, f) in per.items():
+            p = (f + m * k) / (n + k)
+            sure = p - 1.645 * np.sqrt(p * (1 - p) / (n + k + 1))
+            assert got[h]["shrunk"] == pytest.approx(p) and got[h]["sure"] == pytest.approx(sure)
+            assert got[h]["verdict"] == ("reject" if sure > 0.9 else "strict" if sure > min(0.25, 1.5 * m) and sure > 0 else "pass")
+        if hosts is alike:
+            assert k == pytest.approx(1000) and all(r["verdict"] == "pass" for r in got.values())
+        if hosts is differ:
+            assert got["h7"]["verdict"] != "pass" and got["small"]["verdict"] == "pass" and got["h1"]["verdict"] == "pass"
+
+
+def test_a_bad_host_changes_documents_of_a_table(spark):
+    """One host of the table gets symbols in half of its documents: it alone is judged, and loses just those."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spoilt = (F.col("source") == "src3") & (F.col("doc_id") % 2 == 0)
+    docs = docs.unionByName(spark.range(1000, 1060).select(F.col("id").alias("doc_id"), F.lit(text(4, 90)).alias("text"), F.lit("en").alias("lang"), F.lit("src3").alias("source"), F.lit(1).cast("long").alias("n_chars")))
+    docs = docs.withColumn("text", F.when(spoilt & (F.col("doc_id") >= 1000), F.concat("text", F.lit(" " + "#" * 120))).otherwise(F.col("text")))
+    got = q.quality_rules(docs)
+    assert {r["host"] for r in got.where("verdict <> 'pass'").select("host").distinct().collect()} == {"src3"}
+    changed = got.where("not kept and not base_failed").collect()
+    assert {r["doc_id"] for r in changed} >= set(range(1000, 1060, 2)) and all(r["host"] == "src3" and r["rule_failed"] for r in changed)
+    assert got.where("doc_id >= 1000 and doc_id % 2 = 1 and not kept").count() == 0
+
+
 def test_native_plans(spark, odd):
     for df in (q.quality_rules(odd), mix_sources(odd)):
         plan = df._jdf.queryExecution().toString()
