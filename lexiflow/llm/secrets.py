@@ -2,7 +2,7 @@
 
 Runs of key-like characters are tested against the uniform source of the encoding they
 seem to use: chi-squared over the alphabet, runs about the median, lag-1 serial
-correlation.  How far ordinary writing passes these tests depends on the encoding and
+correlation, and the share of digits.  How far ordinary writing passes these tests depends on the encoding and
 the length, so the null distribution is measured per encoding and length class on all
 letters of the corpus itself, with a smoothed tail below the resolution of its counts,
 and the cut of each encoding and length class controls the false-discovery rate."""
@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from math import sqrt
+from functools import lru_cache
+from math import log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -25,10 +26,11 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
-_NOT_LETTER = re.compile(r"[^A-Za-z]+")
 _NAMED = re.compile(r"[^=]+(?:=+$)?")
 #: Cuts of a run that no alphabet holds: base64 next to - or _, base64url next to / or +, keys among all of these.
 _CUTS = (re.compile(r"[^_-]+"), re.compile(r"[^+/]+"), re.compile(r"[^/_-]+"))
+#: Plain words glued to the ends of a piece.
+_WORDS_BEFORE, _WORDS_AFTER = re.compile(r"(?:[A-Z]?[a-z]{3,}[+/_-]+)+"), re.compile(r"(?:[+/_-]+[A-Z]?[a-z]{3,})+$")
 _SEPARATORS = re.compile(r"[+/_=-]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
@@ -45,8 +47,11 @@ ENCODINGS = tuple(ALPHABETS)
 #: Length classes: (up to, length at which ordinary writing is measured).
 LENGTHS = ((31, 24), (51, 40), (None, 64))
 BINS = 40
-#: Background strings that are tested at a time: bounds a task's memory on long texts.
-BATCH = 8192
+#: Background strings that are tested at a time: their arrays stay in a core's cache.
+BATCH = 4096
+_SEP = b"/"
+_OTHER = bytes(i for i in range(256) if not chr(i).isascii() or not chr(i).isalpha())
+_TO_SEP = bytes(i if i not in _OTHER else _SEP[0] for i in range(256))
 _CODE = {}
 for _name, _alphabet in ALPHABETS.items():
     _CODE[_name] = np.full(128, -1, np.int16)
@@ -55,6 +60,8 @@ for _name, _alphabet in ALPHABETS.items():
 _LOWER = np.array([ord(chr(i).lower()) for i in range(128)])
 _LETTERS = {_name: (np.clip(_LOWER - 97, 0, 25) * 10 // 26 if _name == "hex" else _code[_LOWER - 32 if _name == "base32" else _LOWER if _name == "base36"
                     else np.arange(128)]).astype(np.int64) for _name, _code in _CODE.items()}
+#: Which codes of an encoding are digits: ordinary words hold none of them, or (hex) nothing else.
+DIGITS = {_name: np.array([c.isdigit() for c in _alphabet]) for _name, _alphabet in ALPHABETS.items()}
 #: What stands between words in runs of an encoding: paths and slugs are ordinary writing too.
 BETWEEN = {"base64": "/", "base64url": "_"}
 #: A tail of fewer background strings is smoothed.
@@ -95,29 +102,71 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, erfc / 2, 1 - erfc / 2)
 
 
-def randomness(codes: np.ndarray, size: int) -> np.ndarray:
-    """Combined p-value (rows: strings of one length, as letter numbers below ``size``) under the uniform source."""
-    n, length = codes.shape
-    groups = int(min(size, max(2, length // 5)))
-    cell = (np.arange(size) * groups // size)[codes]
-    share = np.bincount(np.arange(size) * groups // size, minlength=groups) / size
-    counts = np.bincount((np.arange(n)[:, None] * groups + cell).ravel(), minlength=n * groups).reshape(n, groups)
-    chi = (counts * counts) @ (1 / (length * share)) - length
-    df = groups - 1
-    p_chi = _normal_tail((np.cbrt(chi / df) - 1 + 2 / (9 * df)) / sqrt(2 / (9 * df)))  # Wilson-Hilferty
-    above = codes >= size // 2
-    up = above.sum(axis=1)
-    down = length - up
-    runs = 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
-    mean = 2 * up * down / length + 1
+@lru_cache(maxsize=1 << 12)
+def _digit_logs(length: int, share: float) -> np.ndarray:
+    """Logarithm of the two-sided p-value of k digits among ``length`` letters, by k, at that share of digits."""
+    k = np.arange(length + 1)
+    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, length + 1)))])
+    p = np.exp(fact[-1] - fact - fact[::-1] + k * log(share) + (length - k) * log(1 - share))
+    return np.log(np.clip(2 * np.minimum(p.cumsum(), p[::-1].cumsum()[::-1]), 1e-12, 1))
+
+
+def _groups(size: int, length: int) -> np.ndarray:
+    """The chi-squared group of each code."""
+    n = int(min(size, max(2, length // 5)))
+    return (np.arange(size) * n // size).astype(np.uint8)
+
+
+def _battery(codes: np.ndarray, group: np.ndarray, above: np.ndarray, digit: np.ndarray | None, size: int, share: float = 0.0) -> np.ndarray:
+    """Combined p-value of each column: one string by letter position, as codes, groups, upper halves and digits (bytes).
+    Positions come first, so that every step runs along the strings."""
+    length, n = codes.shape
+    shares = np.bincount(_groups(size, length)) / size
+    chi, rest = np.full(n, -float(length)), np.full(n, float(length))
+    for g, part in enumerate(shares[:-1]):
+        count = (group == g).sum(0, dtype=np.uint8 if length < 256 else np.int64).astype(np.float64)
+        chi += count * count / (length * part)
+        rest -= count
+    chi += rest * rest / (length * shares[-1])
+    df = len(shares) - 1
+    p_chi = _normal_tail((np.cbrt(np.maximum(chi, 0) / df) - 1 + 2 / (9 * df)) / sqrt(2 / (9 * df)))  # Wilson-Hilferty
+    kind = np.uint8 if length < 256 else np.int64
+    up = above.sum(0, dtype=kind).astype(np.float64)
+    runs = 1.0 + (above[1:] != above[:-1]).sum(0, dtype=kind)
+    mean = 2 * up * (length - up) / length + 1
     var = np.maximum(1e-9, (mean - 1) * (mean - 2) / (length - 1))
-    p_runs = np.where((up == 0) | (down == 0), 1e-12, 2 * _normal_tail(np.abs(runs - mean) / np.sqrt(var)))
-    c = codes - codes.mean(axis=1, keepdims=True)
-    spread = np.maximum(1e-9, np.einsum("ij,ij->i", c, c))
-    p_lag = 2 * _normal_tail(np.abs(np.einsum("ij,ij->i", c[:, 1:], c[:, :-1]) / spread) * sqrt(length - 1))
-    # Fisher's combination of three: chi-squared of six degrees of freedom.
+    p_runs = np.where((up == 0) | (up == length), 1e-12, 2 * _normal_tail(np.abs(runs - mean) / np.sqrt(var)))
+    c = codes.astype(np.float32 if length < 256 else np.float64)  # sums of products of codes: whole numbers that these hold
+    s = c.sum(0).astype(np.float64)
+    m = s / length
+    spread = np.maximum(1e-9, (c * c).sum(0) - s * m)
+    lag = (c[1:] * c[:-1]).sum(0) - m * (2 * s - c[0] - c[-1]) + (length - 1) * m * m
+    p_lag = 2 * _normal_tail(np.abs(lag / spread) * sqrt(length - 1))
+    # Fisher's combination: chi-squared of twice as many degrees of freedom as tests.
     half = -(np.log(np.maximum(p_chi, 1e-12)) + np.log(np.maximum(p_runs, 1e-12)) + np.log(np.maximum(p_lag, 1e-12)))
-    return np.exp(-half) * (1 + half + half * half / 2)
+    if digit is None:
+        return np.exp(-half) * (1 + half + half * half / 2)
+    half -= _digit_logs(length, share)[digit.sum(0, dtype=kind)]
+    return np.exp(-half) * (1 + half * (1 + half / 2 * (1 + half / 3)))
+
+
+def randomness(codes: np.ndarray, size: int, digits: np.ndarray | None = None) -> np.ndarray:
+    """Combined p-value (rows: strings of one length, as letter numbers below ``size``) under the uniform source: chi-squared
+    over the alphabet, runs about the median, serial correlation, and the share of ``digits`` (a mask of the codes)."""
+    across = np.ascontiguousarray(codes.T)
+    group, above = _groups(size, len(across))[across], (across >= size // 2).astype(np.uint8)
+    return _battery(across, group, above, None if digits is None else digits.astype(np.uint8)[across], size, 0.0 if digits is None else float(digits.mean()))
+
+
+@lru_cache(maxsize=None)
+def _byte_tables(name: str, length: int) -> tuple[bytes, ...]:
+    """Code, group, upper half and digit of every byte of ordinary writing in an encoding."""
+    code = np.zeros(256, np.int64)
+    code[:128] = np.maximum(_LETTERS[name], 0)
+    if name in BETWEEN:
+        code[_SEP[0]] = _LETTERS[name][ord(BETWEEN[name])]
+    size = len(ALPHABETS[name])
+    return tuple(t.astype(np.uint8).tobytes() for t in (code, _groups(size, length)[code], code >= size // 2, DIGITS[name][code]))
 
 
 def length_class(n: int) -> int:
@@ -136,7 +185,7 @@ def _is_hypothesis(core: str) -> bool:
 
 def parts(run: str) -> list[tuple[int, int]]:
     """(start, end) of what is tested in a run: its pieces between ``=`` (padding at the end stays), and where
-    no alphabet holds a piece, the pieces of each cut of at least 20 characters; those may overlap."""
+    no alphabet holds a piece, the pieces of each cut of at least 20 characters, less plain words at their ends; those may overlap."""
     out = []
     for m in _NAMED.finditer(run):
         core = m[0].rstrip("=")
@@ -147,8 +196,10 @@ def parts(run: str) -> list[tuple[int, int]]:
             continue
         for cut in _CUTS:
             for x in cut.finditer(core):
-                if len(x[0]) >= 20 and infer_encoding(x[0]):
-                    out.append((m.start() + x.start(), m.end() if x.end() == len(core) else m.start() + x.end()))
+                at = x.start() + (w.end() if (w := _WORDS_BEFORE.match(x[0])) else 0)
+                to = x.start() + (w.start() if (w := _WORDS_AFTER.search(x[0])) else len(x[0]))
+                if to - at >= 20 and infer_encoding(core[at:to]):
+                    out.append((m.start() + at, m.end() if to == len(core) else m.start() + to))
     return sorted(set(out))
 
 
@@ -162,23 +213,33 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
                 continue
             name = infer_encoding(core)
             codes = _CODE[name][np.frombuffer((core.lower() if name == "hex" else core).encode(), np.uint8)][None, :].astype(np.int64)
-            b = int(_bin(randomness(codes, len(ALPHABETS[name])))[0])
+            b = int(_bin(randomness(codes, len(ALPHABETS[name]), DIGITS[name]))[0])
             out.append((m.start() + at, m.start() + to, ENCODINGS.index(name) * len(LENGTHS) + length_class(len(core)), b))
     return out
 
 
+def _collapsed(t: bytes) -> bytes:
+    """Letters, with one separator for all that stands between them."""
+    a = np.frombuffer(t.translate(_TO_SEP), np.uint8)
+    sep = a == _SEP[0]
+    return a[~(sep & np.concatenate([[True], sep[:-1]]))].tobytes().rstrip(_SEP) if len(a) else b""
+
+
 def background(texts: list[str]) -> np.ndarray:
-    """Counts (cell, bin) of ordinary writing: all letters of every text, with what stands between words in the encoding, cut into strings of each class."""
+    """Counts (cell, bin) of ordinary writing: all letters of every text, with a separator between words where the encoding has
+    one, cut into strings of each class."""
     hist = np.zeros((len(ENCODINGS) * len(LENGTHS), BINS), np.int64)
-    for between in sorted({BETWEEN.get(name, "") for name in ENCODINGS}):
-        letters = [_NOT_LETTER.sub(between, t) for t in texts]
-        letters = [s.strip(between) for s in letters] if between else letters
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    for parted, letters in ((False, [t.translate(None, _OTHER) for t in raw]), (True, [_collapsed(t) for t in raw])):
         for i, (_, n) in enumerate(LENGTHS):
-            raw = np.frombuffer("".join(s[:len(s) // n * n] for s in letters).encode(), np.uint8).reshape(-1, n)
-            for at in range(0, len(raw), BATCH):
+            strings = np.frombuffer(b"".join(s[:len(s) // n * n] for s in letters), np.uint8).reshape(-1, n)
+            for at in range(0, len(strings), BATCH):
+                across = strings[at:at + BATCH].T
+                shape, flat = across.shape, across.tobytes()
                 for e, name in enumerate(ENCODINGS):
-                    if BETWEEN.get(name, "") == between:
-                        b = _bin(randomness(_LETTERS[name][raw[at:at + BATCH]], len(ALPHABETS[name])))
+                    if (name in BETWEEN) == parted:
+                        tables = [np.frombuffer(flat.translate(t), np.uint8).reshape(shape) for t in _byte_tables(name, n)]
+                        b = _bin(_battery(*tables, len(ALPHABETS[name]), float(DIGITS[name].mean())))
                         hist[e * len(LENGTHS) + i] += np.bincount(b, minlength=BINS)
     return hist
 
@@ -191,7 +252,7 @@ def reference() -> np.ndarray:
         often = FREQUENT | ({BETWEEN[name]: WORDS} if name in BETWEEN else {})
         codes, share = _LETTERS[name][[ord(c) for c in often]], np.array([*often.values()], float)
         for i, (_, n) in enumerate(LENGTHS):
-            b = _bin(randomness(codes[rng.choice(len(codes), (REFERENCE, n), p=share / share.sum())], len(ALPHABETS[name])))
+            b = _bin(randomness(codes[rng.choice(len(codes), (REFERENCE, n), p=share / share.sum())], len(ALPHABETS[name]), DIGITS[name]))
             hist[e * len(LENGTHS) + i] = np.bincount(b, minlength=BINS)
     return hist
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -194,6 +195,88 @@ def test_p_values_of_random_strings_are_spread():
         assert (p < 0.01).mean() < 0.05 and 0.3 < p.mean() < 0.7
 
 
+def plain_p(codes, size, digits):
+    """The battery letter by letter, in floats."""
+    from math import erfc, exp, log, sqrt
+
+    n, groups = len(codes), int(min(size, max(2, len(codes) // 5)))
+    upper = lambda z: erfc(z / sqrt(2)) / 2
+    of = [c * groups // size for c in range(size)]
+    chi = sum((sum(of[c] == g for c in codes) - n * of.count(g) / size) ** 2 / (n * of.count(g) / size) for g in range(groups))
+    df = groups - 1
+    p_chi = upper(((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / sqrt(2 / (9 * df)))
+    high = [c >= size // 2 for c in codes]
+    up = sum(high)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * up * (n - up) / n + 1
+    p_runs = 2 * upper(abs(runs - mean) / sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))) if 0 < up < n else 1e-12
+    m = sum(codes) / n
+    lag = sum((a - m) * (b - m) for a, b in zip(codes, codes[1:])) / max(1e-9, sum((c - m) ** 2 for c in codes))
+    p_lag = 2 * upper(abs(lag) * sqrt(n - 1))
+    share, k = sum(digits) / size, sum(bool(digits[c]) for c in codes)
+    binom = [math.comb(n, j) * share ** j * (1 - share) ** (n - j) for j in range(n + 1)]
+    p_digit = min(1.0, 2 * min(sum(binom[:k + 1]), sum(binom[k:])))
+    half = -sum(log(max(p, 1e-12)) for p in (p_chi, p_runs, p_lag, p_digit))
+    return exp(-half) * sum(half ** j / math.factorial(j) for j in range(4))
+
+
+def test_battery_equals_a_plain_version():
+    rng = random.Random(3)
+    words = [w for t in rows_of_sample(40) for w in re.findall("[A-Za-z]{20,}", t.replace(" ", ""))]
+    for name, alphabet in sc.ALPHABETS.items():
+        keys = ["".join(rng.choice(alphabet) for _ in range(rng.choice([20, 24, 33, 64, 90]))) for _ in range(25)] + [alphabet[0] * 30, alphabet[:20]]
+        keys += [w[:60] for w in words if set(w[:60]) <= set(alphabet)][:15] + [("ab" * 200)[:300] if name != "base32" else "AB" * 150]
+        for k in keys:
+            codes = [alphabet.index(c) for c in k]
+            want = plain_p(codes, len(alphabet), sc.DIGITS[name])
+            assert sc.randomness(np.array([codes]), len(alphabet), sc.DIGITS[name])[0] == pytest.approx(want, rel=2e-3, abs=1e-9), (name, k)
+    assert all(x.isdigit() == bool(d) for name, a in sc.ALPHABETS.items() for x, d in zip(a, sc.DIGITS[name]))
+
+
+def rows_of_sample(n):
+    return [t for t in pd.read_parquet(f"{SF}/documents.parquet").text[:n] if t]
+
+
+def test_background_equals_a_plain_version():
+    texts = rows_of_sample(12) + ["", "  ", "a", "x/y--z " * 60, "\u00e9t\u00e9 " * 200]
+    want = np.zeros((len(sc.ENCODINGS) * len(sc.LENGTHS), sc.BINS), int)
+    for t in texts:
+        for e, name in enumerate(sc.ENCODINGS):
+            between = sc.BETWEEN.get(name, "")
+            run = re.sub("[^A-Za-z]+", between, t).strip(between or None)
+            run = run.upper() if name == "base32" else run.lower() if name == "base36" else run
+            codes = [(ord(c.lower()) - 97) * 10 // 26 if name == "hex" else sc.ALPHABETS[name].index(c) for c in run]
+            for i, (_, n) in enumerate(sc.LENGTHS):
+                for at in range(0, len(codes) - n + 1, n):
+                    p = sc.randomness(np.array([codes[at:at + n]]), len(sc.ALPHABETS[name]), sc.DIGITS[name])
+                    want[e * len(sc.LENGTHS) + i, int(sc._bin(p)[0])] += 1
+    assert (sc.background(texts) == want).all()
+
+
+def test_cuts_and_choice_equal_a_plain_version():
+    rng = np.random.default_rng(4)
+    ordinary = rng.integers(0, 2000, (18, sc.BINS)) * (np.arange(sc.BINS) < 30)
+    found = rng.integers(0, 3, (18, sc.BINS)) * (rng.random((18, sc.BINS)) < 0.2)
+    p = sc.p_values(ordinary)
+    for cell, cut in enumerate(sc.cuts(found, ordinary, 0.001)):
+        mine = sorted((p[cell, b], -b) for b in range(sc.BINS) for _ in range(found[cell, b]))
+        passed = [-b for i, (x, b) in enumerate(mine) if x <= 0.001 * sum(q <= (x, b) for q in mine) / len(mine)]
+        least = min(passed, default=sc.BINS)
+        chosen = lambda cut: [b for b in range(cut, sc.BINS) if found[cell, b]]
+        assert chosen(cut) == chosen(least), (cell, cut, least)
+
+
+def test_long_keys_are_found_before_whole_text_background():
+    """Keys of 32 and more characters of every encoding, each alone, against the letters of a table."""
+    texts = [t or "" for t in pd.read_parquet(f"{BIG}/documents.parquet").text]
+    p, rng = sc.p_values(sum(sc.background(texts[i:i + 200]) for i in range(0, len(texts), 200))), random.Random(1)
+    for name, alphabet in sc.ALPHABETS.items():
+        for n in (32, 40, 64):
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(200)]
+            hits = sum(any(p[c[2], c[3]] <= 0.001 for c in sc.candidates(f" {k} ")) for k in keys)
+            assert hits >= 180, (name, n, hits)
+
+
 def test_empty_secret_table(none):
     assert sc.scan_secrets(none).count() == 0
 
