@@ -133,9 +133,15 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bi
 
 def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Forest:
     """A forest from the statistics of labelled rows; ``max_rows`` bounds what comes to the driver (72 bytes a row).
-    Of several labels of one id the smallest counts; NULL labels are none."""
+    Of more rows those of the smallest hashes are taken: a cut of the hash by the rows' number leaves about as many, and
+    only these are put in order.  Repeated rows count once; of several labels of one id the smallest counts; NULL labels
+    are none; without labels, or rows, the forest is a constant."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("double").alias("y"))
-    rows = stats.join(known, id_col).orderBy(F.xxhash64(id_col), id_col).limit(max_rows).select("x", "y").toPandas()
+    rows = stored(stats.join(known, id_col).select(id_col, "x", "y").distinct().withColumn("h", F.pmod(F.xxhash64(id_col, "x"), F.lit(1 << 40))), "labelled")
+    n = rows.count()
+    if n > max_rows:
+        rows = rows.where(F.col("h") < int((1 << 40) * min(1.0, (max_rows + 6 * max_rows ** 0.5) / n)))
+    rows = rows.toPandas().sort_values(["h", id_col]).head(max_rows)
     x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), len(FEATURES))
     return fit_forest(x, rows["y"].to_numpy(float))
 

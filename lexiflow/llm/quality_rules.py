@@ -17,7 +17,7 @@ MAX_SYMBOL_PERCENT = 50
 MAX_DUP_LINE_PERCENT = 30
 #: A host whose failure rate exceeds STRICT_TIMES the mean of all rows, or STRICT if that is less, loses the documents that
 #: fail any rule; one whose rate exceeds REJECT loses all.  Exceeds: with a chance of 95 % by its posterior (CERTAIN deviations).
-STRICT_TIMES, STRICT, REJECT, CERTAIN = 1.5, 0.25, 0.9, 1.645
+STRICT_TIMES, STRICT, REJECT, CERTAIN = 1.5, 0.25, 0.75, 1.645
 #: Bounds of the prior's strength (pseudo-documents).
 PRIOR_BOUNDS = (2.0, 1000.0)
 

@@ -1,7 +1,7 @@
 """Encoding of texts with public tokenizer files, inside Python tasks.
 
-Paths are parameters; ``vocab_path(name)`` finds the installed files.  Every
-encoder treats the strings of special tokens as ordinary text."""
+Paths are parameters; ``vocab_path(name)`` finds the installed files.  The strings of special
+tokens become their ids, as the ``tokenizers`` library does by default."""
 
 from __future__ import annotations
 
@@ -27,11 +27,13 @@ def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    def make():
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return t
-    return process_cache(f"tok:{path}", make)
+    return process_cache(f"tok:{path}", lambda: Tokenizer.from_file(path))
+
+
+def added_tokens(path: str) -> list[str]:
+    """The strings that the library takes out of a text before it cuts it; texts that hold one go to the library."""
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
 def _byte_names() -> dict[str, int]:
@@ -56,15 +58,17 @@ def byte_bpe_encoder(path: str):
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if not token.startswith("<|")}
         return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    enc = process_cache(f"bpe:{path}", make)
+    enc, special = process_cache(f"bpe:{path}", make), process_cache(f"added:{path}", lambda: added_tokens(path))
 
     def encode(text: str) -> np.ndarray:
-        try:
-            return enc.encode_to_numpy(text, disallowed_special=())
-        except BaseException as e:  # the regex engine gives up on some texts with a panic
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                raise
-            return np.array(load_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if not any(s in text for s in special):
+            try:
+                return enc.encode_to_numpy(text, disallowed_special=())
+            except BaseException as e:
+                # The regex engine gives up on some texts with a panic, a class that the library does not export.
+                if type(e).__name__ != "PanicException":
+                    raise
+        return np.array(load_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     return encode
 
 
@@ -138,6 +142,7 @@ class WordMemo:
 
     def __init__(self, path: str, limit: int = 400_000):
         self.tok, self.limit, self.memo, self.fast = load_tokenizer(path), limit, {}, WordEndBpe.of(path)
+        self.special = added_tokens(path)
 
     def _learn(self, words: list[str]) -> None:
         if self.fast:
@@ -151,7 +156,8 @@ class WordMemo:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        out = [self.fast.text(t) if self.fast else None for t in texts]
+        whole = lambda t: np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        out = [whole(t) if any(s in t for s in self.special) else self.fast.text(t) if self.fast else None for t in texts]
         rest = [i for i, x in enumerate(out) if x is None]
         for at in range(0, len(rest), 256):
             part = rest[at:at + 256]

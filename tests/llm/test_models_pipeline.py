@@ -289,11 +289,13 @@ def plain_pipeline(docs):
     base = (c["w"] < 50) | (100 * c["rep"] > 50 * c["w"])
     failed = base | (100 * c["sym"] > 50 * c["w"]) | (100 * c["dup"] > 30 * lines)
     per = failed.groupby(t["source"]).agg(["sum", "size"])
-    rate = per["sum"] / per["size"]
-    v = rate.var(ddof=0)
-    k = min(1000.0, max(2.0, rate.mean() * (1 - rate.mean()) / v - 1)) if v > 0 else 1000.0
-    host = t["source"].map((per["sum"] + rate.mean() * k) / (per["size"] + k))
-    t = t[~base & (host < 0.9) & ~((host >= 0.25) & failed)]
+    # Beta prior: mean of all rows, strength from what the rates vary beyond chance; a host is judged by the rate it exceeds at 95 %.
+    n, all_, m = per["size"], per["size"].sum(), per["sum"].sum() / per["size"].sum()
+    beyond = (n * (per["sum"] / n - m) ** 2).sum() / (m * (1 - m)) - (len(per) - 1)
+    k = 1 / max(1 / 1001, min(1 / 3, beyond / (all_ - (n ** 2).sum() / all_ - (len(per) - 1)))) - 1
+    p = (per["sum"] + m * k) / (n + k)
+    host = t["source"].map(p - 1.645 * (p * (1 - p) / (n + k + 1)) ** 0.5)
+    t = t[~base & ~(host > 0.75) & ~((host > min(0.25, 1.5 * m)) & failed)]
     t = t.loc[t.groupby("text")["doc_id"].idxmax()]
     comp = {d: x for d, _, x in brute_components(t["doc_id"].tolist(), t["text"].tolist())}
     t = t[[comp[d] == d for d in t["doc_id"]]]

@@ -139,3 +139,23 @@ def test_counts_through_edits(spark, odd, which):
 def test_empty_tables(spark, none):
     assert pack_documents(none).count() == 0 and tc.count_through_edits(none).count() == 0
     assert read_token_files(spark, write_token_files(none)).count() == 0
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", "<|startoftext|> One two  <|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "\u00e9t\u00e9<|endoftext|>\n\n 12",
+           "<|endoftext|><|endoftext|> " * 30, "word " * 300 + "<|startoftext|>" + " more" * 300]
+
+
+def test_special_tokens_become_their_ids(spark):
+
+    assert ids(BYTE, SPECIAL[0]).count(50256) == 1 and len(ids(BYTE, SPECIAL[0])) == 4
+    encode, memo = byte_bpe_encoder(BYTE), WordMemo(WORD)
+    for t in SPECIAL:
+        assert encode(t).tolist() == ids(BYTE, t)
+        assert tc.build_tree(t, encode).total == len(ids(BYTE, t))
+    assert [np.frombuffer(x, "<u2").tolist() for x in memo.encode(SPECIAL)] == [ids(WORD, t) for t in SPECIAL]
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    n = {r["doc_id"]: r["doc_tokens"] for r in pack_documents(df, with_ids=False).collect()}
+    assert n == {i: len(ids(BYTE, t)) + 1 for i, t in enumerate(SPECIAL)}
+    rows = read_token_files(spark, write_token_files(df), with_ids=False).collect()
+    want = {i: zlib.crc32(np.array(ids(WORD, t) + [2], "<u4").tobytes()) for i, t in enumerate(SPECIAL)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in rows} == want
