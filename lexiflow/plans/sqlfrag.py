@@ -221,6 +221,31 @@ def bpe_learn_ctes(rounds: int) -> str:
     return ",\n".join(out)
 
 
+def bpe_vocab_ctes(rounds: int, specials) -> str:
+    """After ``bpe_learn_ctes``: merges(rank, l, r, merged), vocab(id, token, special) and mm, one row with l{k}, r{k}, g{k} per merge."""
+    spec = " union all ".join(f"select {i} as id, '{t}' as token, true as special" for i, t in enumerate(specials))
+    cols = ", ".join(f"m{k}.l as l{k}, m{k}.r as r{k}, m{k}.merged as g{k}" for k in range(rounds))
+    return f"""merges as ({" union all ".join(f"select rank, l, r, merged from m{k}" for k in range(rounds))}),
+letters as (select ch as token from alpha where ch not in (select token from ({spec}))),
+vocab as ({spec}
+  union all select ({len(specials)} - 1 + row_number() over (order by unicode(token)))::int, token, false from letters
+  union all select ({len(specials)} + (select count(*) from letters) - 1 + row_number() over (order by rank))::int, merged, false
+    from (select merged, min(rank) as rank from merges group by merged) where merged not in (select token from letters)),
+mm as (select {cols} from {', '.join(f'm{k}' for k in range(rounds))})"""
+
+
+def bpe_words_cte(rounds: int, texts: str) -> str:
+    """enc(w, toks, ids) of the distinct pre-tokens of ``texts`` (a query with one text column t), merges applied by rank."""
+    syms = "regexp_extract_all(w, '(?s).')"
+    for k in range(rounds):
+        syms = (f"list_reduce({syms}, lambda acc, x: case when len(acc) > 0 and acc[-1] = l{k} and x = r{k} "
+                f"then acc[1:-2] || [g{k}] else acc || [x] end, []::varchar[])")
+    return f"""dw as (select distinct unnest({pretokens('t')}) as w from ({texts})),
+cut as (select w, {syms} as toks from dw, mm),
+enc as (select w, any_value(toks) as toks, list(coalesce(v.id, 0) order by y[1]) as ids
+        from (select w, toks, unnest(list_zip(range(len(toks)), toks)) as y from cut) left join vocab v on v.token = y[2] group by w)"""
+
+
 def split_ctes(fr=(0.6, 0.8)) -> str:
     """spl(row_id, path, hyp, ref, idx, split): positional split of the pairs
     with a hypothesis, by row id."""
