@@ -421,3 +421,22 @@ def load_bpe(spark: SparkSession, path: str) -> BPEModel:
     specials = [r["token"] for r in vocab if r["special"]]
     return BPEModel(tokens=[r["token"] for r in vocab], merges=[(r["l"], r["r"], r["merged"]) for r in merges],
                     specials=specials)
+
+
+def publish_bpe(model: BPEModel, spark: SparkSession, root: str) -> int:
+    """Publish vocabulary and merges as one version: readers of an older one are not disturbed."""
+    from lexiflow.sources.publish import publish
+
+    special = set(model.specials)
+    rows = [("token", i, t, None, None, t in special) for i, t in enumerate(model.tokens)]
+    rows += [("merge", i, merged, left, right, None) for i, (left, right, merged) in enumerate(model.merges)]
+    return publish(spark.createDataFrame(rows, "kind string, place int, token string, l string, r string, special boolean").coalesce(1), root)
+
+
+def published_bpe(spark: SparkSession, root: str, version: int | None = None) -> BPEModel:
+    from lexiflow.sources.publish import read_published
+
+    rows = read_published(spark, root, version).orderBy("kind", "place").collect()
+    tokens = [r for r in rows if r["kind"] == "token"]
+    return BPEModel(tokens=[r["token"] for r in tokens], merges=[(r["l"], r["r"], r["token"]) for r in rows if r["kind"] == "merge"],
+                    specials=[r["token"] for r in tokens if r["special"]])

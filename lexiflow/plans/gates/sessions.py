@@ -117,6 +117,18 @@ def q_frequent_items(spark, sf):
     return found.join(counts, "item").where(F.col("n") > sk.ITEM_SHARE * total).select("item", "n", ((F.col("low") <= F.col("n")) & (F.col("n") <= F.col("high"))).alias("within"))
 
 
+# ------------------------------------------------------------- quoted CSV ----
+@register("scan_quoted_pairs", f"""with {q.pairs_cte()} select row_id, path, hyp, ref from pairs""")
+def q_scan_quoted_pairs(spark, sf):
+    """All pairs written as CSV, whose references hold line breaks, and read back in byte ranges."""
+    from lexiflow.sources.io import write_pairs
+    from lexiflow.sources.quoted_csv import read_quoted_pairs
+
+    pairs, path = fx.pairs(spark, sf), scratch_path(spark, "quoted")
+    write_pairs(pairs, path)
+    return read_quoted_pairs(spark, path, schema=pairs.schema)
+
+
 # --------------------------------------------------------- published tables ----
 @register("published_table", "select doc_id, n_chars, 2 as version, 2 as kept from documents")
 def q_published_table(spark, sf):

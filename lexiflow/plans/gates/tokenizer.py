@@ -11,7 +11,7 @@ from lexiflow.plans import sqlfrag as q
 from lexiflow.plans.registry import register
 from lexiflow.session import ensure_checkpoint_dir
 from lexiflow.sources import fixtures as fx
-from lexiflow.sources import io
+from lexiflow.sources import io, publish
 from lexiflow.sources.tables import table
 
 VOCAB_SIZE = 4048  # the reference's vocabulary
@@ -23,16 +23,16 @@ def _model_path(spark, sf):
 
 
 def _learn(spark, sf):
-    """Learn from the corpus and keep the model in the shared folder, under the fingerprint of its files."""
+    """Learn from the corpus and publish the model in the shared folder, under the fingerprint of its files."""
     model = bpe.learn_bpe(fx.corpus(spark, sf), "text", vocab_size=VOCAB_SIZE)
-    bpe.save_bpe(model, spark, _model_path(spark, sf))
+    bpe.publish_bpe(model, spark, _model_path(spark, sf))
     return model
 
 
 def _model(spark, sf):
-    """The model kept for these files; learned first if there is none."""
+    """The model published for these files; learned first if there is none."""
     path = _model_path(spark, sf)
-    return bpe.load_bpe(spark, path) if io.exists(spark, f"{path}/merges") else _learn(spark, sf)
+    return bpe.published_bpe(spark, path) if publish.versions(spark, path) else _learn(spark, sf)
 
 
 def _docs(spark, sf):

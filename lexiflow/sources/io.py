@@ -30,8 +30,12 @@ def read_pairs(spark: SparkSession, path: str, na_values: Sequence[str] = (),
     (a text that does not cast is NULL).  Blank cells are NULL; ``na_values`` adds
     texts read as NULL (pass ``PANDAS_NA_VALUES`` for pandas parity).  A first
     column without a name (the index a pandas sink writes) is dropped; no other is.
-    ``multi_line=False`` lets Spark split large files without quoted line breaks."""
-    df = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).csv(path)
+    ``multi_line=False`` lets Spark split large files without quoted line breaks; ``quoted_csv`` splits those with them."""
+    return finish_pairs(spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).csv(path), na_values, schema)
+
+
+def finish_pairs(df: DataFrame, na_values: Sequence[str] = (), schema: T.StructType | None = None) -> DataFrame:
+    """Text columns of a CSV reader without the unnamed index, NULL texts and casts applied."""
     if df.columns and df.columns[0] in UNNAMED_FIRST:
         df = df.drop(df.columns[0])
     if na_values:
