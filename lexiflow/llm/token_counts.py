@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -65,10 +66,15 @@ class SegmentTree:
             node //= 2
 
 
-def build_tree(text: str, encode: Callable) -> SegmentTree:
+def segment_counts(text: str, encode: Callable) -> tuple[list[int], list[int]]:
+    """Characters and tokens of each segment: the leaves of the tree, which are what is kept."""
     ends = segment_ends(text)
     starts = [0, *ends[:-1]]
-    return SegmentTree([e - s for s, e in zip(starts, ends)], [len(encode(text[s:e])) for s, e in zip(starts, ends)])
+    return [e - s for s, e in zip(starts, ends)], [len(encode(text[s:e])) for s, e in zip(starts, ends)]
+
+
+def build_tree(text: str, encode: Callable) -> SegmentTree:
+    return SegmentTree(*segment_counts(text, encode))
 
 
 def apply_to_tree(tree: SegmentTree, text: str, edits: Sequence[tuple[int, int, str]], encode: Callable) -> tuple[str, int, int]:
@@ -113,10 +119,14 @@ REDACTIONS = (
 )
 
 
+@lru_cache
+def _joined(rules: tuple[tuple[str, str], ...]) -> re.Pattern:
+    return re.compile("|".join(f"({p})" for p, _ in rules))
+
+
 def redactions(text: str, rules: Sequence[tuple[str, str]] = REDACTIONS) -> list[tuple[int, int, str]]:
     """The edits of a redaction pass over a whole text, leftmost first, none overlapping."""
-    joined = re.compile("|".join(f"({p})" for p, _ in rules))
-    return [(m.start(), m.end(), rules[m.lastindex - 1][1]) for m in joined.finditer(text)]
+    return [(m.start(), m.end(), rules[m.lastindex - 1][1]) for m in _joined(tuple(rules)).finditer(text)]
 
 
 def build_trees(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,10 +141,9 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None, id_col: str = "do
     def run(batches):
         encode = byte_bpe_encoder(path)
         for b in batches:
-            trees = [build_tree(t, encode) for t in b["text"]]
-            leaves = [t.sums[t.width:t.width + t.leaves].astype(np.int32) for t in trees]
-            yield pd.DataFrame({id_col: b["id"], "text": b["text"], "chars": [x[:, 0] for x in leaves], "tokens": [x[:, 1] for x in leaves],
-                                "n_tokens": [t.total for t in trees]})
+            leaves = [segment_counts(t, encode) for t in b["text"]]
+            yield pd.DataFrame({id_col: b["id"], "text": b["text"], "chars": [x for x, _ in leaves], "tokens": [x for _, x in leaves],
+                                "n_tokens": [sum(x) for _, x in leaves]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, f"`{id_col}` {kind}, text string, chars array<int>, tokens array<int>, n_tokens long")
@@ -144,7 +153,7 @@ def apply_edits(trees: DataFrame, edits: Callable[[str], list[tuple[int, int, st
                 id_col: str = "doc_id") -> DataFrame:
     """The state after edits (columns as ``build_trees``), and n_tokens_before, n_edits, n_segments, segments_encoded, chars_encoded.
 
-    ``edits`` gives a text's edits in order.  Row by row: no shuffle."""
+    ``edits`` gives a text's edits in order.  Row by row: no shuffle, and rows without an edit keep their state as it is."""
     text_batches(trees.sparkSession)
     path = tokenizer or vocab_path("byte_bpe_50k.json")
     kind = trees.schema[id_col].dataType.simpleString()
@@ -152,17 +161,19 @@ def apply_edits(trees: DataFrame, edits: Callable[[str], list[tuple[int, int, st
     def run(batches):
         encode = byte_bpe_encoder(path)
         for b in batches:
-            rows = []
-            for doc, text, chars, tokens in zip(b[id_col], b["text"], b["chars"], b["tokens"]):
-                tree, todo = SegmentTree(chars, tokens), edits(text)
-                before = tree.total
-                new, again, read = apply_to_tree(tree, text, todo, encode)
-                own = tree.sums[tree.width:tree.width + tree.leaves].astype(np.int32)
-                rows.append((None if pd.isna(doc) else doc, new, own[:, 0], own[:, 1], tree.total, before, len(todo), tree.leaves, again, read))
-            yield pd.DataFrame(rows, columns=[id_col, "text", "chars", "tokens", "n_tokens", "n_tokens_before", "n_edits", "n_segments",
-                                              "segments_encoded", "chars_encoded"])
-
-    return trees.select(id_col, "text", "chars", "tokens").mapInPandas(
+            todo = [edits(t) for t in b["text"]]
+            before, leaves = b["n_tokens"].to_numpy(np.int64), b["chars"].map(len).to_numpy(np.int64)
+            out = b.assign(n_tokens_before=before, n_edits=[len(x) for x in todo], n_segments=leaves, segments_encoded=0, chars_encoded=0)
+            changed = {c: out[c].tolist() for c in ("text", "chars", "tokens", "n_tokens", "segments_encoded", "chars_encoded")}
+            for i, own in enumerate(todo):
+                if own:
+                    tree = SegmentTree(changed["chars"][i], changed["tokens"][i])
+                    changed["text"][i], changed["segments_encoded"][i], changed["chars_encoded"][i] = apply_to_tree(tree, changed["text"][i], own, encode)
+                    now = tree.sums[tree.width:tree.width + tree.leaves].astype(np.int32)
+                    changed["chars"][i], changed["tokens"][i], changed["n_tokens"][i] = now[:, 0], now[:, 1], tree.total
+            yield out.assign(**changed)
+
+    return trees.select(id_col, "text", "chars", "tokens", "n_tokens").mapInPandas(
         run, f"`{id_col}` {kind}, text string, chars array<int>, tokens array<int>, n_tokens long, n_tokens_before long, n_edits long, "
              "n_segments long, segments_encoded long, chars_encoded long")
 
