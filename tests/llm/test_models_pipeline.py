@@ -359,3 +359,71 @@ def test_stages_on_odd_rows(spark, odd, none):
             if name == "mix_sources":
                 assert n == df.count()
     assert hashlib.sha256(b"").hexdigest() == sc.sha256_of([])
+
+
+def test_languages_equal_an_exact_scorer(spark):
+    """The bit-sliced filter decides like exact sets of the same trigrams: equal predictions, scores apart by false positives only."""
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    learn = docs[docs["lang"].notna() & docs["text"].notna()]
+    model = li.learn_filter(spark.read.parquet(f"{SF}/documents.parquet"))
+    sets = {}
+    for lang, part in learn.groupby("lang"):
+        n = {}
+        for t in part["text"]:
+            for g in set(li.ngrams(t).tolist()):
+                n[g] = n.get(g, 0) + 1
+        sets[lang] = {g for g, c in n.items() if c >= 0.01 * len(part)}
+    assert model.names == sorted(sets)
+    for i, name in enumerate(model.names):
+        mine = np.array(sorted(sets[name]))
+        assert ((model.masks(mine)[:, i >> 6] >> np.uint64(i & 63)) & np.uint64(1)).all()  # never one too few
+    for t in docs["text"].tolist() + ["", "12 -- 3", "a", "zq xj"]:
+        grams = li.ngrams(t or "").tolist()
+        got, score = model.predict(t)
+        if not grams:
+            assert (got, score) == ("und", 0.0)
+            continue
+        hits = [sum(g in sets[name] for g in grams) for name in model.names]
+        best, rest = sorted(hits)[-1], sorted(hits)[-2]
+        if best - rest > 0.03 * len(grams) + 1:
+            assert got == model.names[hits.index(best)] and abs(score - best / (best + rest)) < 0.05
+
+
+def test_first_split_equals_a_plain_search():
+    """The root of a one-level tree: best gain over every feature and every edge, searched row by row."""
+    rng = np.random.default_rng(8)
+    for _ in range(5):
+        x = rng.integers(0, 12, (60, 4)).astype(np.float32)
+        y = ((x[:, 2] > 5) ^ (rng.random(60) < 0.2)).astype(float)
+        forest = qm.fit_forest(x, y, trees=1, depth=1, bins=64)
+        p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+        g, h = p - y, np.full(60, p * (1 - p))
+        best = (0.0, None)
+        for f in range(4):
+            for edge in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])):
+                left = x[:, f] <= edge
+                hl, hr = h[left].sum(), h[~left].sum()
+                if hl < 1 or hr < 1:
+                    continue
+                gain = g[left].sum() ** 2 / (hl + 1) + g[~left].sum() ** 2 / (hr + 1) - g.sum() ** 2 / (h.sum() + 1)
+                if gain > best[0] + 1e-9:
+                    best = (gain, (f, left))
+        f, left = best[1]
+        assert forest.feature[0][0] == f and ((x[:, f] <= forest.threshold[0][0]) == left).all()
+        values = [-0.2 * g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)]
+        assert forest.leaf[0] == pytest.approx(values)
+
+
+def test_labelled_rows_are_cut_by_hash(spark):
+    stats = spark.range(3000).selectExpr("id as doc_id", f"array_repeat(cast(id % 7 as float), {len(qm.FEATURES)}) as x")
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 7 > 3 as int) as quality")
+    plan = []
+    real = qm.fit_forest
+    try:
+        qm.fit_forest = lambda x, y, **k: plan.append(len(y)) or real(x, y, **k)
+        qm.fit_quality(stats.unionByName(stats), labels, max_rows=500)
+        qm.fit_quality(stats, labels, max_rows=5000)
+        qm.fit_quality(stats.limit(0), labels)
+    finally:
+        qm.fit_forest = real
+    assert plan == [500, 3000, 0]
