@@ -160,7 +160,8 @@ def row_key(*cols: str | Column) -> Column:
 def drop_rejected(docs: DataFrame, judged: DataFrame, by: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judged`` (id_col, tkey, the columns ``by``, kept; one verdict for rows equal in all but the last) keeps.
 
-    Repeated rows stay repeated.  Only rows that the constant-size filter cannot clear are shuffled with their texts."""
+    Repeated rows stay repeated; NULLs in id, text or the columns ``by`` are values like others; an empty table gives no rows.
+    Only rows that the constant-size filter cannot clear are shuffled with their texts."""
     keys = [id_col, "tkey", *by]
     bad = judged.where(~F.col("kept")).select(*[F.col(f"`{c}`").alias(f"__m{i}") for i, c in enumerate(keys)]).distinct()
     bad = stored(bad.withColumn("__rk", row_key(*[f"__m{i}" for i in range(len(keys))])), "rejected")

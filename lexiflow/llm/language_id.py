@@ -82,7 +82,8 @@ class LanguageFilter:
 
 
 def learn_filter(docs: DataFrame, min_share: float = 0.01, lang_col: str = "lang", text_col: str = "text", max_slots: int = 1 << 22) -> LanguageFilter:
-    """Fit to all rows with a language and a text.
+    """Fit to all rows with a language and a text; rows with a NULL there teach nothing, empty texts count as documents
+    without trigrams, repeated rows count each time, and from an empty table no language is learned.
 
     A trigram belongs to a language if at least ``min_share`` of the language's documents
     hold it.  Documents are counted by language and trigram with one row per batch,
