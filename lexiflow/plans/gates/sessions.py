@@ -9,7 +9,7 @@ from lexiflow.operators import metrics as M
 from lexiflow.operators import sketches as sk
 from lexiflow.plans import sqlfrag as q
 from lexiflow.plans.gates.alignment import _TURNS
-from lexiflow.plans.gates.training import _EPOCHS, PATIENCE
+from lexiflow.plans.gates.training import PATIENCE
 from lexiflow.plans.registry import ORACLE, register
 from lexiflow.sources import fixtures as fx
 from lexiflow.sources import publish as pb
