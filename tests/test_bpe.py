@@ -156,3 +156,47 @@ def test_encode_without_shuffle_and_long_token(spark):
     t0 = time.time()
     bpe._merge_word("ab" * 50_000, ranks, m.token_to_id, 0)
     assert time.time() - t0 < 2
+
+
+def test_windows_equal_plain_trainer(spark):
+    """Windows of small tables: many floors, doubled tokens ("abc" from a + bc and ab + c) and runs of one letter."""
+    import random
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcab ") for _ in range(60)) for _ in range(30)] + ["aaaa aaa aaaaaaa bcbcbc", "x", ""]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    plain = _plain_trainer(texts, 120)
+    for size in (400, 120):
+        assert bpe.learn_bpe(df, "text", max_merges=120, local_symbols=size).merges == plain
+    few = bpe.learn_bpe(df, "text", max_merges=8, local_symbols=120)
+    assert few.merges == plain[:8]
+
+
+def test_replayed_merges_equal_one_after_the_other():
+    import random
+    draw = random.Random(3)
+    merges = [(97, 98, 1000), (98, 99, 1001), (1000, 99, 1002), (1002, 100, 1003), (97, 1001, 1002), (1002, 100, 1003), (97, 97, 1004)]
+    steps = {}
+    for k, (left, right, new) in enumerate(merges):
+        steps.setdefault((left, right), []).append((k, new))
+    for _ in range(300):
+        syms = [draw.randint(97, 100) for _ in range(draw.randint(0, 14))]
+        want = list(syms)
+        for left, right, new in merges:
+            i = 0
+            while i < len(want) - 1:
+                if (want[i], want[i + 1]) == (left, right):
+                    want[i:i + 2] = [new]
+                i += 1
+        assert bpe._replay(list(syms), steps) == want
+
+
+def test_encoding_bounds_its_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    m = bpe.BPEModel(tokens=["[UNK]", "a"], merges=[], specials=["[UNK]"])
+    docs = spark.createDataFrame([(1, "a b", [7, 8])], "row_id long, text string, ids array<int>")
+    from lexiflow.operators import noise
+    from lexiflow.session import ROWS_PER_BATCH
+    for use in (lambda: bpe.encode_columns(docs, ["text"], m), lambda: bpe.bpe_encode(docs, "text", m), lambda: noise.corrupt("ids", 1, 0, "row_id")):
+        spark.conf.set(name, "10000")
+        use()
+        assert int(spark.conf.get(name)) <= ROWS_PER_BATCH
