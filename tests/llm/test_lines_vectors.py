@@ -204,6 +204,32 @@ def test_search_stops_early_and_splits_blocks(spark, clustered, monkeypatch):
     assert rows < 0.5 * 11 * len(clustered)  # 11 anchors: far from all rows
 
 
+def test_requests_come_in_bounded_batches(spark, clustered, monkeypatch):
+    """A task hands requests on as it makes them, whatever the number of searches in its input batch."""
+    monkeypatch.setattr(hn, "BLOCK_ROWS", (16, 32))
+    monkeypatch.setattr(hn, "CELL_ROWS", 8)
+    monkeypatch.setattr(hn, "REQUESTS", 64)
+    rows = hn.integer_vectors(vectors(spark, clustered), 256.0, "vec_id", "embedding", "label")
+    index = hn.build_index(rows)
+    searches = rows.select("id", "label", "x", F.array(F.lit(hn._FAR)).alias("hi"), F.array(F.lit(-hn._FAR)).alias("lo"), F.lit(0).alias("popped"))
+    held = {}
+
+    class Frame:  # takes the place of the table: the task's function is called here
+        def mapInPandas(self, run, schema):
+            held["run"] = run
+
+    hn._requests(Frame(), index, float("inf"))
+    sizes = [len(b) for b in held["run"](iter([searches.toPandas()]))]
+    blocks = index.blocks.count()
+    assert sum(sizes) > 2000 and max(sizes) < 64 + blocks
+
+
+def test_packed_integers_are_exact():
+    for x in ([1, -32768], [1 << 40, -3], [-(1 << 63), (1 << 63) - 1], [(1 << 53) + 1, 0]):
+        m = np.array([x], np.int64)
+        assert hn._unpacked(hn._packed(m), 2).tolist() == m.tolist()
+
+
 def test_multi_sequence_is_sorted():
     rng = np.random.default_rng(2)
     u, v = rng.normal(size=17), rng.normal(size=9).round(1)
