@@ -83,6 +83,8 @@ def _schedule(spark, dealt: Iterator[tuple]) -> DataFrame:
     return spark.read.schema("source string, block long, slot long, release long, deadline long, stretch int").parquet(path)
 
 
+#: Tables of at most so many rows, one per source or lane, are broadcast.
+BROADCAST_SOURCES, BROADCAST_LANES = 4096, 1 << 18
 #: Weight classes per doubling of the weight, of the pools of small sources.
 POOLS_PER_DOUBLING = 8
 
@@ -101,7 +103,7 @@ def _lanes(per_source: DataFrame, weights: Mapping | None, alpha: float, block_c
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = 0.5, block_chars: int = 65_536,
-                period: int = 256, max_sources: int = 4096, max_blocks: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text",
+                period: int = 256, max_sources: int | None = None, max_blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source") -> DataFrame:
     """One row per input row: id_col, tkey, source, block, start, slot, release, deadline, stretch.
 
@@ -113,14 +115,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     get the smallest one.  When a source runs out, the others go on in the same proportions: every row is placed.
     ``stretch`` is the number of sources that run out before the slot's ``period`` slots are over.
 
-    The driver deals blocks, not documents, and their number is bounded: of inputs that have more than ``max_blocks``
-    blocks, blocks are as much larger.  Of more than ``max_sources`` sources, those of at most one block
-    are dealt together with others of like weight (block, release, deadline and stretch then count the blocks of such a lane;
-    no placing of a single block is a block off its source's flow).  So every source is less than one block off.
+    One rule holds at every size: blocks of ``block_chars`` characters, each source dealt on its own.  The driver deals
+    blocks, not documents, ``CHUNK`` at a time; its memory grows with the sources, its time with the blocks.
+    A caller may bound both.  Of inputs that have more than ``max_blocks`` blocks, blocks are then as much larger.  Of more
+    than ``max_sources`` sources, those of at most one block are dealt together with others of like weight (block,
+    release, deadline and stretch then count the blocks of such a lane; no placing of a single block is a block
+    off its source's flow).  So every source is less than one block off.
 
     Running sums take two levels: buckets of about sqrt(rows) rows of one lane (at least 512), then
-    bucket totals; no task sees a whole source.  Tables that are broadcast have one row per lane:
-    at most ``max_blocks`` + ``max_sources`` and a few hundred pools.
+    bucket totals; no task sees a whole source.  Tables of one row per source or lane are broadcast while they are
+    proven small and joined by shuffle beyond, with the same rows.
 
     NULL text counts as empty (one character, so that each row has a place); NULL source is a source of
     its own; NULL and repeated ids are placed like others (rows equal in all of these are
@@ -138,17 +142,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
         empty = rows.select(id_col, "tkey", "source", *[F.lit(0).cast("long").alias(c) for c in ("block", "start", "slot", "release", "deadline")],
                             F.lit(0).alias("stretch"))
         return empty.select(out_cols)
-    block_chars = max(block_chars, -(-chars // max_blocks))
-    lanes = stored(_lanes(per_source, weights, alpha, block_chars, n_sources <= max_sources), "lanes")
+    if max_blocks is not None:
+        block_chars = max(block_chars, -(-chars // max_blocks))
+    lanes = stored(_lanes(per_source, weights, alpha, block_chars, max_sources is None or n_sources <= max_sources), "lanes")
     stats = lanes.groupBy("lane").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("weight").alias("weight")).collect()
     plan = _schedule(spark, deal({r["lane"]: -(-r["chars"] // block_chars) for r in stats}, {r["lane"]: r["weight"] for r in stats}, period))
 
     per_bucket = max(512, int(n ** 0.5))
     counts = spark.createDataFrame([(r["lane"], -(-r["n"] // per_bucket)) for r in stats], "lane string, __buckets int")
-    # One row per source, broadcast while their number is proven small.
-    rows = (rows.join(F.broadcast(lanes.select("key", "lane")), "key") if n_sources <= max_sources
+    rows = (rows.join(F.broadcast(lanes.select("key", "lane")), "key") if n_sources <= BROADCAST_SOURCES
             else skew_join(rows, lanes.select("key", "lane"), "key", ["__h", "tkey"], "inner")).drop("key")
-    rows = rows.join(F.broadcast(counts), "lane")
+    rows = rows.join(F.broadcast(counts), "lane") if len(stats) <= BROADCAST_LANES else skew_join(rows, counts, "lane", ["__h", "tkey"], "inner")
     rows = rows.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__h", 20), F.col("__buckets").cast("long")).cast("int"))
     totals = rows.groupBy("lane", "__bucket").agg(F.sum("__size").alias("__sum"))
     before = Window.partitionBy("lane").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -78,6 +78,16 @@ def test_blocks_are_bounded(spark):
     assert got.groupBy("source", "block").count().agg(F.max("count")).first()[0] <= 31  # 300 characters
 
 
+def test_one_rule_at_every_size(spark):
+    """Neither the number of sources nor that of blocks changes the rule."""
+    docs = spark.range(5000).selectExpr("id as doc_id", "repeat('x', 9) as text", "concat('s', id) as source")
+    got = mix_sources(docs)
+    assert got.where("block = 0 and slot >= release and slot < deadline").select("slot").distinct().count() == 5000
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', 99) as text", "concat('s', id % 2) as source")
+    got = mix_sources(docs, {"s0": 1.0, "s1": 1.0}, block_chars=1)
+    assert got.where("block = start").count() == 3000 and got.agg(F.max("start")).first()[0] >= 149_000
+
+
 def test_many_small_sources_share_lanes(spark):
     """Far more sources than are dealt on their own: all rows placed, large sources in their windows, small ones spread like the rest."""
     docs = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', 9) as text", """case when id % 2 = 0 then 'large' when id % 10 = 1 then null
