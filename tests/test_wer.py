@@ -84,3 +84,54 @@ def test_wer_partitioning_invariant(spark):
     for n in (1, 4, 17):
         sums.add(base.repartition(n).select(wer("hyp", "ref").alias("s")).agg(F.sum("s.errors")).first()[0])
     assert len(sums) == 1
+
+
+def test_replacements_need_no_table():
+    """Texts that differ in replaced words only are told in one pass; where that is not sure the table is used."""
+    import random
+    import time
+
+    from lexiflow.functions.align import align, error_kinds
+    from lexiflow.functions.editdist import place_by_place, word_edit_distance
+    r = [f"w{i % 977}" for i in range(20_000)]
+    h = [f"x{i}" if i % 9 == 4 else w for i, w in enumerate(r)]
+    t0 = time.time()
+    for _ in range(20):
+        assert word_edit_distance(h, r) == 2222 and error_kinds(h, r) == (17_778, 2222, 0, 0)
+    assert time.time() - t0 < 4
+    assert place_by_place("abcd", "bcda") is None and word_edit_distance("abcd", "bcda") == 2
+    assert place_by_place("ab", "abc") is None and place_by_place("", "") == []
+    draw = random.Random(8)
+    for _ in range(2000):
+        n = draw.randint(0, 7)
+        a, b = ["".join(draw.choice("abcd") for _ in range(n)) for _ in "ab"]
+        cost = [[max(i, j) if not i or not j else 0 for j in range(n + 1)] for i in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, n + 1):
+                cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        i, j, want = n, n, []
+        while i or j:
+            if i and j and a[i - 1] == b[j - 1]:
+                op, i, j = "=", i - 1, j - 1
+            elif i and j and cost[i][j] == cost[i - 1][j - 1] + 1:
+                op, i, j = "S", i - 1, j - 1
+            elif j and cost[i][j] == cost[i][j - 1] + 1:
+                op, j = "D", j - 1
+            else:
+                op, i = "I", i - 1
+            want.append((op, i, j))
+        assert align(a, b) == want[::-1] and word_edit_distance(a, b) == cost[n][n]
+
+
+def test_word_split_and_draws_keep_their_rule(spark):
+    from pyspark.sql import functions as F
+
+    from lexiflow.functions import rng
+    from lexiflow.functions.text import WHITESPACE_CLASS, words
+    every = "".join(f"{chr(c)}a{chr(c)}{chr(c)}!~" for c in [*range(1, 0x3100), 0xfeff, 0x1d11e] if not 0xd800 <= c < 0xe000)
+    df = spark.createDataFrame([(every,), ("",), (" \t a 　b ",), (None,)], "t string")
+    old = F.filter(F.split("t", WHITESPACE_CLASS + "+"), lambda x: x != F.lit(""))
+    assert all(r["a"] == r["b"] for r in df.select(words("t").alias("a"), old.alias("b")).collect())
+    for rate in (0.0, 0.06, 0.1, 0.5, 1.0):
+        same = rng.below(rate, 42, "typo", F.col("id"), 3) == (rng.uniform(42, "typo", F.col("id"), 3) < rate)
+        assert spark.range(3000).where(same).count() == 3000
