@@ -1,0 +1,58 @@
+"""Derived inputs against plain versions of them."""
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from lexiflow.sources import fixtures as fx
+
+TEXT = "A café spoke quietly about  several things\nwhile nobody listened " * 12
+
+
+def _u(*key):
+    return int(hashlib.md5("|".join(str(k) for k in key if k is not None).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def _folder(spark, scratch):
+    rows = [(i, TEXT, "en", "a") for i in range(60)] + [(None, TEXT, "en", "a"), (61, None, "en", "a"), (62, "", "en", "a"), (63, " \t", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{scratch}/documents.parquet")
+    return rows
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_vs_plain(spark, scratch):
+    rows, df = _folder(spark, scratch), fx.pairs(spark, scratch, stored=False)
+    want = []
+    for i, text, _, _ in rows:
+        ws = None if text is None else text.split()
+        for k, w in enumerate(ws or ()):
+            if len(w) >= fx.TYPO_MIN_LEN and _u(42, "typo", i, k) < fx.TYPO_RATE:
+                at = int(_u(42, "typo_at", i, k) * len(w))
+                ws[k] = w[:at] + w[at + 1:]
+        u = _u(42, "fail", i)
+        want.append((i, None if u < 0.02 else "  " if u < 0.04 else None if ws is None else " ".join(ws), text))
+    assert sorted(map(repr, df.select("row_id", "hyp", "ref").collect())) == sorted(repr(r) for r in spark.createDataFrame(want, "row_id long, hyp string, ref string").collect())
+    assert "lambdafunction" not in _plan(df)  # no draw of a word in an interpreted lambda
+
+
+def test_pseudo_vs_plain(spark, scratch):
+    rows, df = _folder(spark, scratch), fx.pseudo(spark, scratch, stored=False)
+    want = []
+    for i, text, _, _ in rows:
+        if _u(42, "omit", i) >= fx.BEAM_OMIT_RATE:
+            beam = None if text is None else " ".join("zzz" if _u(42, "beam", i, k) < fx.BEAM_SUB_RATE else w for k, w in enumerate(text.split()))
+            want += [(None if i is None else str(i), beam)] * (2 if _u(42, "dup", i) < fx.BEAM_DUP_RATE else 1)
+    assert sorted(map(repr, (tuple(r) for r in df.select("audio_part_name", "beam").collect()))) == sorted(map(repr, want))
+    assert "lambdafunction" not in _plan(df)
+
+
+def test_ids_vs_plain(spark, scratch):
+    rows, df = _folder(spark, scratch), fx.ids(spark, scratch, stored=False)
+    want = [(i, None if t is None else [7 + int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 1000 for w in t.split()]) for i, t, _, _ in rows]
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want))
+    assert df.schema["ids"].dataType.simpleString() == "array<int>" and df.where(F.size("ids") == 0).count() == 2
+    assert "lambdafunction" not in _plan(df)
