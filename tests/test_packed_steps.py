@@ -1,0 +1,112 @@
+"""Words travel packed and texts stay where they are: what the corrector's steps shuffle and leave behind."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexiflow import session
+from lexiflow.functions.editdist import word_edit_distance
+from lexiflow.operators import alignment as al
+from lexiflow.operators import blocks as bl
+from lexiflow.operators import channel as ch
+from lexiflow.operators import correct as C
+from lexiflow.operators import index as ix
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def size(folder):
+    return sum(os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(folder) for f in files)
+
+
+def test_split_by_first_keys_leaves_rows_in_place(spark):
+    rows = [(k, "x" * 3) for k in random.Random(1).sample(range(1000), 57)] + [(None, "n")]
+    df = spark.createDataFrame(rows, "row_id long, hyp string").repartition(5)
+    for bounds in ((0.6, 0.8), (0.0, 0.5), (3, 500), (500, 600), (0, 0), (-2, 5), (0.5, 0.5)):
+        want = {r["row_id"]: r["split"] for r in ix.positional_split(df, ["row_id"], bounds).collect()}
+        split = ix.positional_split(df, ["row_id"], bounds, numbered=False)
+        assert {r["row_id"]: r["split"] for r in split.collect()} == want and split.columns == ["row_id", "hyp", "split"]
+    assert "SortMergeJoin" not in plan(split) and "hashpartitioning(row_id" not in plan(split)
+    assert ix.positional_split(df.limit(0), ["row_id"], numbered=False).collect() == []
+    two = spark.createDataFrame([("b", 1), ("a", 2), ("a", None)], "k string, m int")
+    assert {tuple(r) for r in ix.positional_split(two, ["k", "m"], (1, 2), numbered=False).collect()} == {("a", None, "train"), ("a", 2, "valid"), ("b", 1, "test")}
+    with pytest.raises(ValueError):
+        ix.positional_split(two, ["k"], numbered=False)
+
+
+def test_candidates_vs_all_pairs(spark):
+    draw = random.Random(3)
+    known = {"".join(draw.choices("abé", k=draw.randint(1, 6))) for _ in range(150)} | {"a", "\U0001f600b", "x\ny"}
+    asked = {"".join(draw.choices("abé", k=draw.randint(1, 7))) for _ in range(120)} | {"", "b", "\U0001f600", "x\nz", "xx\n"}
+    freq = spark.createDataFrame([(w, i + 1) for i, w in enumerate(sorted(known))], "word string, freq long")
+    corr = C.Corrector(freq, freq, freq, freq)
+    found = C.candidates(spark.createDataFrame([(w,) for w in [*asked, *list(asked)[:9], None]], "word string"), corr)
+    got = sorted(tuple(r) for r in found.collect())
+    rank = {w: i + 1 for i, w in enumerate(sorted(known))}
+    assert got == sorted((w, v, rank[v]) for w in asked for v in known if word_edit_distance(list(w), list(v)) == 1)
+    assert "Generate" not in plan(found)  # no row per removed character
+
+
+def test_lookups_answer_every_block(spark, monkeypatch):
+    rows = [(i, f"w{i % 7}") for i in range(100)]
+    blocks = bl.in_blocks(spark.createDataFrame(rows, "k long, w string").repartition(3))
+    ask = lambda rows, _: dict.fromkeys(rows["w"].to_pylist())
+    counts = spark.createDataFrame([("w1 w2",), ("w1 w1",), (None,), ("",)], "t string").repartition(2)
+    for n in (1, 4):
+        table = bl.value_table(spark.createDataFrame([(f"w{i}", i * 10) for i in range(5)], "w string, v long"), n)
+        use = lambda rows, _, got: rows.append_column("v", [[got.get(w, (None,))[0] for w in rows["w"].to_pylist()]]).combine_chunks().to_batches()
+        out = bl.answered(bl.looked_up(blocks, ask, table, n), ask, n, use, "k long, w string, v long")
+        assert sorted(tuple(r) for r in out.collect()) == [(i, w, int(w[1]) * 10 if w < "w5" else None) for i, w in rows]
+        pairs = bl.pair_table(counts, "t", n, "<s>", "</s>").collect()
+        total = {}
+        for r in pairs:
+            for k, v in zip(bl.unpack(r["keys"]), bl.unpack(r["vals"])):
+                total[k] = total.get(k, 0) + v
+        assert total == {"<s> w1": 2, "w1 w2": 1, "w1 w1": 1, "w2 </s>": 1, "w1 </s>": 1, "<s> </s>": 1}
+
+
+def test_word_filter_never_loses_a_word(spark):
+    words = [f"word{i}é" for i in range(3000)]
+    test = bl.may_hold(bl.word_filter(spark.createDataFrame([(w,) for w in [*words, None]], "word string")))
+    assert all(map(test, words)) and sum(test(f"other{i}") for i in range(3000)) < 900
+
+
+def test_stored_steps_drop_their_shuffles(spark, scratch):
+    df = spark.range(200_000).select(F.md5(F.col("id").cast("string")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    out = session.stored(df, "t")
+    assert out.count() == 200_000 and os.path.isdir(out._stored_path.removeprefix("file:"))
+    session.forget(out)
+    assert not os.path.isdir(out._stored_path.removeprefix("file:"))
+    assert spark.conf.get(session._CLEANUP, None) in (None, "false")
+
+
+def test_context_counts_no_pair_that_is_not_asked(spark):
+    texts = ["the cat sat on the mat", "a cat ran to the hat"] * 5
+    rows = spark.createDataFrame([(t.replace("cat", "ct", 1), t) for t in texts], "hyp string, ref string")
+    model = ch.fit_channel_corrector(rows)
+    stats = {r["word"]: (r["freq"], r["lead"]) for r in model.stats.collect()}
+    lead = {r["p"]: r["n"] for r in model.corr.bigrams.groupBy("p").agg(F.sum("count").alias("n")).collect()}
+    assert {w: n for w, (_, n) in stats.items()} == lead and stats["<s>"] == (0, len(texts))
+    cands = ch.readings(spark.createDataFrame([("ct",), ("zzz",), ("cat",)], "word string"), model)
+    assert {r["word"]: [c["cand"] for c in r["cands"]] for r in cands.collect()} == {"ct": ["ct", "cat"]}
+    asked = spark.createDataFrame([(1, ["the", "ct", "sat"]), (2, ["<s>", "ct", "</s>"]), (3, ["the", "ct", "sat"])], "k int, seg array<string>")
+    best = ch.decode_stretches(asked, cands, model)
+    assert sorted((r["k"], r["best"][1]) for r in best.collect()) == [(1, "cat"), (2, "cat"), (3, "cat")]
+    assert "Generate" not in plan(best) and "Exchange" not in plan(best)
+
+
+def test_literal_frame_words_count_as_words(spark):
+    texts = ["<s> a b </s>", "a <s>", ""]
+    model = ch.fit_channel_corrector(spark.createDataFrame([(t, t) for t in texts], "hyp string, ref string"))
+    lead = {r["p"]: r["n"] for r in model.corr.bigrams.groupBy("p").agg(F.sum("count").alias("n")).collect()}
+    assert {r["word"]: r["lead"] for r in model.stats.collect()} == lead
+
+
+def test_channel_sums_stay_in_their_tasks(spark):
+    pairs = al.aligned_pairs(spark.createDataFrame([("the ct", "the cat"), ("x", None), (None, "y"), ("b", "b")], "hyp string, ref string"))
+    got = {(r["given"], r["got"]): r["n"] for r in ch.channel_counts(pairs).collect()}
+    assert got == {**{(x, x): 1 for x in "hecb"}, ("t", "t"): 2, ("a", ""): 1, ("", ""): 4 + 4 + 2}
