@@ -84,6 +84,14 @@ def test_stored_steps_drop_their_shuffles(spark, scratch):
     assert spark.conf.get(session._CLEANUP, None) in (None, "false")
 
 
+def test_drop_inserted_shuffles_no_row_per_pair(spark):
+    corr = C.fit_corrector(spark.createDataFrame([("the cat sat on the mat",)] * 3, "ref string"), "ref")
+    out = C.drop_inserted(spark.createDataFrame([(1, "the cat qzx sat")], "row_id long, hyp string"), "hyp", corr)
+    assert out.first()["cleaned"] == "the cat sat"
+    # The places to drop are stored: neither word pairs nor triples are left in the plan.
+    assert "Generate" not in plan(out) and "Python" not in plan(out)
+
+
 def test_context_counts_no_pair_that_is_not_asked(spark):
     texts = ["the cat sat on the mat", "a cat ran to the hat"] * 5
     rows = spark.createDataFrame([(t.replace("cat", "ct", 1), t) for t in texts], "hyp string, ref string")
