@@ -1,10 +1,10 @@
 """Three-system evaluation (the reference's final comparison) as one plan.
 
 pairs -> drop failed rows -> positional split -> fit the corrector on the
-training references -> correct every hypothesis -> join the second system on
-the path key -> one row per (row, system) -> row WER -> macro and micro WER per
-(split, system).  Shuffles: the index pass, the corrector's word-level joins,
-the path join and the final (tiny) aggregate.
+training references -> correct every hypothesis -> row WER of both -> join the second
+system on the path key -> its row WER -> one row per (row, system) -> macro and micro WER per
+(split, system).  Shuffles: the index pass, the corrector's word-level steps,
+the rows' fixes, the path join and the final (tiny) aggregate.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from lexiflow.operators import index as ix
 def evaluate(pairs: DataFrame, pseudo: DataFrame, fractions=(0.6, 0.8), min_freq: int = 10,
              unique: bool = True, by_split: bool = True) -> DataFrame:
     nn = ev.drop_null(pairs, ["hyp"])
-    sp = ix.positional_split(nn, ["row_id"], fractions)  # the index itself is stored
+    sp = ix.positional_split(nn, ["row_id"], fractions, numbered=False)
     corr = C.fit_corrector(sp.where(F.col("split") == "train"), "ref")
     fixed = C.correct(sp, "hyp", corr, min_freq=min_freq, unique=unique)
+    # A system's rows are scored as soon as they have their reference: scores, not texts, move to the join.
+    fixed = ev.with_wer(ev.with_wer(fixed, "hyp", "ref", "base"), "corrected", "ref", "corrected")
     other = ev.pseudo_with_path(pseudo)
-    j = ev.join_systems(other, fixed.select("path", "row_id", "split", F.col("hyp").alias("base"),
-                                            "corrected", "ref"), on="path")
-    u = ev.unpivot_systems(j, ["row_id", "split", "ref"], ["base", "beam", "corrected"], "system", "text")
+    j = ev.join_systems(other, fixed.select("path", "split", "base", "corrected", "ref"), on="path")
+    u = ev.unpivot_systems(ev.with_wer(j, "beam", "ref", "beam"), ["split"], ["base", "beam", "corrected"], "system", "score")
     by = ["split", "system"] if by_split else ["system"]
-    return ev.wer_report(ev.with_wer(u, "text", "ref"), by=by)
+    return ev.wer_report(u, by=by)

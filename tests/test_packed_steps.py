@@ -13,6 +13,7 @@ from lexiflow.operators import blocks as bl
 from lexiflow.operators import channel as ch
 from lexiflow.operators import correct as C
 from lexiflow.operators import index as ix
+from lexiflow.plans.evaluation import evaluate
 
 
 def plan(df):
@@ -118,3 +119,13 @@ def test_channel_sums_stay_in_their_tasks(spark):
     pairs = al.aligned_pairs(spark.createDataFrame([("the ct", "the cat"), ("x", None), (None, "y"), ("b", "b")], "hyp string, ref string"))
     got = {(r["given"], r["got"]): r["n"] for r in ch.channel_counts(pairs).collect()}
     assert got == {**{(x, x): 1 for x in "hecb"}, ("t", "t"): 2, ("a", ""): 1, ("", ""): 4 + 4 + 2}
+
+
+def test_systems_are_scored_before_they_are_joined(spark):
+    pairs = spark.createDataFrame([(i, f"/r/{i}", "a b" if i % 2 else None, "a c") for i in range(10)], "row_id long, path string, hyp string, ref string")
+    pseudo = spark.createDataFrame([("../r/", str(i), "a c") for i in (1, 3, 5, 5, 7)], "output_dir string, audio_part_name string, beam string")
+    out = evaluate(pairs, pseudo, by_split=False)
+    got = {r["system"]: (r["n_rows"], r["errors"], r["macro_wer"]) for r in out.collect()}
+    assert got == {"base": (5, 5, 0.5), "beam": (5, 0, 0.0), "corrected": (5, 5, 0.5)}
+    # One row per system holds its score; no text is repeated.
+    assert "text#" not in out._jdf.queryExecution().analyzed().toString()
