@@ -7,13 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiflow import session
+from lexiflow.functions.arrays import pack_ids, unpack_ids
 from lexiflow.functions.editdist import word_edit_distance
 from lexiflow.operators import alignment as al
 from lexiflow.operators import blocks as bl
+from lexiflow.operators import bpe
 from lexiflow.operators import channel as ch
 from lexiflow.operators import correct as C
 from lexiflow.operators import index as ix
 from lexiflow.plans.evaluation import evaluate
+from lexiflow.plans.training import build_batches
 
 
 def plan(df):
@@ -129,3 +132,26 @@ def test_systems_are_scored_before_they_are_joined(spark):
     assert got == {"base": (5, 5, 0.5), "beam": (5, 0, 0.0), "corrected": (5, 5, 0.5)}
     # One row per system holds its score; no text is repeated.
     assert "text#" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_packed_ids_come_back(spark):
+    rows = [(1, [5, 300, 6]), (2, []), (3, None), (4, [2**31 - 1, -7, 0]), (5, [1] * 3000), (6, [9, 9])]
+    df = spark.createDataFrame(rows, "k int, ids array<int>").repartition(2)
+    packed = df.select("k", pack_ids("ids").alias("p"))
+    assert {r["k"]: r["ids"] for r in packed.select("k", unpack_ids("p").alias("ids")).collect()} == dict(rows)
+    wide = {r["k"]: r["ids"] for r in packed.select("k", unpack_ids("p", F.lit(4)).alias("ids")).collect()}
+    assert wide[1] == [5, 300, 6, 3] and wide[2] == [3] * 4 and wide[3] is None and len(wide[5]) == 3000
+    assert df.limit(0).select(unpack_ids(pack_ids("ids")).alias("x")).collect() == []
+    b = df.where("ids is not null").select(F.lit(0).alias("epoch"), (F.col("k") % 2).alias("batch_id"), "k", "ids")
+    plain = {r["k"]: r["ids"] for r in ix.pad_batches(b, ["ids"]).collect()}
+    assert {r["k"]: r["ids"] for r in ix.pad_batches(b.withColumn("ids", pack_ids("ids")), ["ids"]).collect()} == plain
+
+
+def test_training_batches_move_packed_ids(spark):
+    texts = ["the cat sat on the mat", "a dog ran far away", "the end"]
+    model = bpe.learn_bpe(spark.createDataFrame([(t,) for t in texts], "text string"), "text", max_merges=5)
+    pairs = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "row_id long, hyp string, ref string")
+    p = plan(build_batches(pairs, model, noisy=False))
+    last = p.index("unpack(")
+    # Above the last window rows are unpacked; every exchange and window below it has them packed.
+    assert p.count("pack(") >= 4 and "Window" not in p[:last] and "Exchange" not in p[:last]
